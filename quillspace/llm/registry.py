@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .packing import op8_sum_of_squares_packing
+from .quality import OP1_SQL, op1_quality_rules
 from .sharding import op2_sharding
 from .tokenfile import op10_token_files
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op10_token_files": op10_token_files,
 }
-SQL: dict[str, str] = {}
+SQL = {"op1_quality_rules": OP1_SQL}
