@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP5_SQL, op5_chat_formatting
 from .packing import op8_sum_of_squares_packing
 from .quality import OP1_SQL, op1_quality_rules
 from .sharding import op2_sharding
@@ -10,7 +11,8 @@ from .tokenfile import op10_token_files
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op5_chat_formatting": op5_chat_formatting,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op10_token_files": op10_token_files,
 }
-SQL = {"op1_quality_rules": OP1_SQL}
+SQL = {"op1_quality_rules": OP1_SQL, "op5_chat_formatting": OP5_SQL}
