@@ -7,12 +7,14 @@ from .packing import op8_sum_of_squares_packing
 from .quality import OP1_SQL, op1_quality_rules
 from .sharding import op2_sharding
 from .tokenfile import op10_token_files
+from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op4_warc": op4_warc,
     "op5_chat_formatting": op5_chat_formatting,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op10_token_files": op10_token_files,
 }
-SQL = {"op1_quality_rules": OP1_SQL, "op5_chat_formatting": OP5_SQL}
+SQL = {"op1_quality_rules": OP1_SQL, "op4_warc": OP4_SQL, "op5_chat_formatting": OP5_SQL}

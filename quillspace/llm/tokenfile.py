@@ -33,7 +33,7 @@ BLOCK = 512
 #: The share of a block's differences that its bit width must hold.
 PERCENTILE = 0.9
 #: Ids gathered before a segment is closed; bounds a task's memory whatever a partition holds.
-SEGMENT_IDS = 2_000_000
+SEGMENT_IDS = 1_000_000
 _HEAD, _BLOCK = struct.Struct("<4sIIQQ"), struct.Struct("<IBHH")
 
 

@@ -12,8 +12,8 @@ from functools import lru_cache
 
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces and words kept by one Python worker; beyond them what is not kept is encoded again.
-CACHE_PIECES, CACHE_WORDS = 400_000, 700_000
+#: Pieces kept by one Python worker (about 120 MB); beyond it a piece that is not kept is encoded again.
+CACHE_PIECES = 600_000
 
 
 def default_path() -> str:
@@ -54,29 +54,30 @@ class PieceEncoder(dict):
         self.letters = _byte_letters()
         self.space = chr(self.letters[32])
         self.packed = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            plain = word.isascii() and word.isprintable()
-            name = word.replace(" ", self.space) if plain else word.encode().decode("latin-1").translate(self.letters)
-            got = b"".join([self.packed[t.id] for t in self.model.tokenize(name)])
-            if len(self.words) < CACHE_WORDS:
-                self.words[word] = got
-        return got
+        self.marks = {c: self._model(c) for c in ".,;:!?|)"}
+
+    def _model(self, word: str) -> bytes:
+        plain = word.isascii() and word.isprintable()
+        name = word.replace(" ", self.space) if plain else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(name)])
 
     def __missing__(self, piece: str) -> bytes:
         """piece: what follows a space up to the next, or a newline and what follows it."""
         if not piece or piece[-1].isspace() or piece[-1] == "\u180e":
             raise _Cut
-        got = self._ids(piece if piece[0] == "\n" else f" {piece}")
+        if piece.isalpha():
+            got = self._model(f" {piece}")
+        elif piece[-1] in self.marks and piece[:-1].isalpha():
+            got = self[piece[:-1]] + self.marks[piece[-1]]
+        else:
+            got = self._ids(piece if piece[0] == "\n" else f" {piece}")
         if len(self) < CACHE_PIECES and len(piece) < 64:
             self[piece] = got
         return got
 
     def _ids(self, piece: str) -> bytes:
-        return b"".join([self._word(w) for w in self.split(piece)])
+        words = self.split(piece)
+        return b"".join([self[w[1:]] if w[0] == " " and w[1:].isalpha() else self._model(w) for w in words])
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.replace("\n", " \n").split(" ")
