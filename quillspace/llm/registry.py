@@ -7,11 +7,13 @@ from .packing import op8_sum_of_squares_packing
 from .quality import OP1_SQL, op1_quality_rules
 from .sharding import op2_sharding
 from .tokenfile import op10_token_files
+from .simhash import op3_simhash
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op5_chat_formatting": op5_chat_formatting,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
