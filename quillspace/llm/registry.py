@@ -8,6 +8,7 @@ from .quality import OP1_SQL, op1_quality_rules
 from .sharding import op2_sharding
 from .tokenfile import op10_token_files
 from .simhash import op3_simhash
+from .toxicity import op6_toxicity
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_toxicity": op6_toxicity,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op10_token_files": op10_token_files,
 }
