@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, text_or_empty
 
@@ -199,7 +200,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(sums, -700, 700)))
             yield pa.record_batch([*b.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    schema = docs.schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.mapInArrow(score, schema)
 
 
