@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_formatting
+from .decontam import op7_decontamination
 from .packing import op8_sum_of_squares_packing
 from .quality import OP1_SQL, op1_quality_rules
 from .sharding import op2_sharding
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_files": op10_token_files,

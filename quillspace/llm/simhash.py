@@ -264,5 +264,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def redundant(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id of each document that is not the first of its component."""
+    return near_duplicates(docs, size).where("doc_id <> component_id").select("doc_id").distinct()
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -9,16 +9,15 @@ the weights are broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import table, text_or_empty
+from .words import Words, chunks
 
 BITS = 20
 #: Labelled rows that the model is fitted on, at most, of each class; taken by a hash of doc_id.
@@ -27,53 +26,12 @@ EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: Gaps of word pairs: 1 for bigrams, 2 and 3 for skip-grams.
 GAPS = (1, 2, 3)
-#: Characters of texts whose features are made at a time.
-CHUNK = 1_000_000
 #: A feature must be in so many documents of the sample to get a weight.
 LEAST = 3
 #: One row in so many, by crc32 of the doc_id as text, is held out.
 HELD_OUT = 5
 
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_LETTER = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = np.full(n, _BASE, np.uint64)
-    back = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    base[0] = back[0] = 1
-    return np.cumprod(base, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
-
-
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the text, for each of its words) and hashes of the word and its stems, (n, 3).
-
-    A word's hash is a difference of prefix sums over all bytes, so no word is handled by itself.
-    Words without a letter or digit are passed over.
-    """
-    raw = [x.lower().encode() for x in texts]
-    buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    power, back = (x[: len(buf)] for x in _powers(1 << (len(buf) - 1).bit_length() if len(buf) > 2 * CHUNK else 2 * CHUNK))
-    space, letter = _SPACE[buf], _LETTER[buf]
-    edge = np.diff(space.view(np.int8), prepend=1, append=1)
-    starts, ends = np.flatnonzero(edge[:-1] == -1), np.flatnonzero(edge == 1)
-    seen = np.concatenate([[0], np.cumsum(letter)])
-    some = seen[ends] > seen[starts]
-    starts, ends, places = starts[some], ends[some], np.flatnonzero(letter)
-    first, last = places[seen[starts]], places[seen[ends] - 1] + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)])
-    hashes = np.empty((len(first), 3), np.uint32)
-    for k, most in enumerate((1 << 40, 4, 5)):
-        h = (sums[np.minimum(last, first + most)] - sums[first]) * back[first] + np.uint64(most)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes[:, k] = h >> np.uint64(32)
-    doc_ends = np.cumsum([len(x) + 1 for x in raw])
-    return np.searchsorted(doc_ends, first, side="right"), hashes
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """Hashes to places in the weights."""
     x = x.astype(np.uint32, copy=True)
@@ -87,8 +45,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(place of the text, feature) for each n-gram of whole texts, repeats included."""
-    doc, hashes = word_hashes(texts)
-    word, four, five = hashes.T
+    words = Words(texts)
+    word, four, five = (words.hashes(most).astype(np.uint32) for most in (1 << 40, 4, 5))
+    doc = words.doc
     docs, found = [doc, doc, doc], [word, four, five]
     for g in GAPS:
         same = np.flatnonzero(doc[:-g] == doc[g:]) if len(doc) > g else np.zeros(0, np.int64)
@@ -97,19 +56,6 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), _mix(np.concatenate(found))
 
 
-def chunks(texts: list[str]) -> Iterator[list[str]]:
-    """Whole texts, about CHUNK characters at a time."""
-    part, held = [], 0
-    for x in texts:
-        part.append(x)
-        held += len(x)
-        if held >= CHUNK:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
 def distinct(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct features of each text."""
     out = []
@@ -178,30 +124,40 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return weights, bias
 
 
-def scored(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= 0.5) added; a null text counts as an empty one."""
+def _model(docs: DataFrame, weights: np.ndarray, bias: float):
+    """Weights as a broadcast that scores texts; its size is bounded by BITS."""
     at = np.flatnonzero(weights)
     model = docs.sparkSession.sparkContext.broadcast((at.astype(np.uint32), weights[at], bias))
-    names = [f.name for f in docs.schema]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer() -> Callable[[list[str]], np.ndarray]:
         places, values, start = model.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[places] = values
-        for b in batches:
-            texts = b.column(names.index("text"))
+
+        def scores(texts: list[str]) -> np.ndarray:
             sums = [np.zeros(0)]
-            for part in chunks([x or "" for x in texts.to_pylist()]):
+            for part in chunks(texts):
                 doc, found = features(part)
                 heavy = np.flatnonzero(dense[found])
                 keys = np.unique(doc[heavy] << BITS | found[heavy].astype(np.int64))
                 sums.append(np.bincount(keys >> BITS, dense[keys & ((1 << BITS) - 1)], len(part)) + start)
-            sums = np.concatenate(sums)
-            p = 1 / (1 + np.exp(-np.clip(sums, -700, 700)))
-            yield pa.record_batch([*b.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            return 1 / (1 + np.exp(-np.clip(np.concatenate(sums), -700, 700)))
+
+        return scores
+
+    return scorer
 
-    schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(score, schema)
+
+def nontoxic(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
+    """docs without the rows that score 0.5 or more; all columns and other rows stay as they are."""
+    names, scorer = [f.name for f in docs.schema], _model(docs, weights, bias)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = scorer()
+        for b in batches:
+            yield b.filter(pa.array(scores([x or "" for x in b.column(names.index("text")).to_pylist()]) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,8 +167,17 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id is held out.
     """
     weights, bias = fit(docs, labels)
-    out = scored(docs.select("doc_id", text_or_empty().alias("text")), weights, bias)
-    return out.select("doc_id", (F.coalesce(remainder(F.col("doc_id")), F.lit(0)) == 0).alias("held_out"), "score", "predicted")
+    scorer = _model(docs, weights, bias)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = scorer()
+        for b in batches:
+            p = scores(b.column(1).to_pylist())
+            yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    held_out = (F.coalesce(remainder(F.col("doc_id")), F.lit(0)) == 0).alias("held_out")
+    return rows.mapInArrow(score, "doc_id long, score double, predicted int").select("doc_id", held_out, "score", "predicted")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
