@@ -189,16 +189,15 @@ def _dealt(raw: bytes) -> np.ndarray:
     return out
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with no, which is doc_id where that is a key; else the place in the order of doc_id (nulls first) and text."""
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _no, which is doc_id where that is a key; else the place in the order of doc_id (nulls first) and text."""
     ids = docs.select("doc_id")
     odd = ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return docs.withColumn("no", F.col("doc_id").cast("long")), True
+        return docs.withColumn("_no", F.col("doc_id").cast("long"))
     ordered = docs.orderBy("doc_id", "text")
-    schema = T.StructType([*ordered.schema, T.StructField("no", T.LongType())])
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
-    return materialize(numbered, "suffix-docs"), False
+    schema = T.StructType([*ordered.schema, T.StructField("_no", T.LongType())])
+    return materialize(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema), "suffix-docs")
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -282,15 +281,46 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs(doc_id, text, ...) with no and spans (see removals(); null: nothing to remove) added.
+    """docs(doc_id, text, ...) with _spans (see removals(); null: nothing to remove) added.
 
     A null text is an empty one. Documents are in the order of doc_id, nulls first; rows with equal or
     null doc_id are documents of their own, ordered by text. Equal windows are found by their bytes;
     segments are told apart by 128 bits of two hashes.
     """
-    numbered, _ = _numbered(docs)
-    spans = removals(numbered.select("no", text_or_empty().cast("binary").alias("text")), window)
-    return numbered.join(spans, "no", "left")
+    numbered = _numbered(docs)
+    spans = removals(numbered.select(F.col("_no").alias("no"), text_or_empty().cast("binary").alias("text")), window)
+    return numbered.join(spans.select(F.col("no").alias("_no"), F.col("spans").alias("_spans")), "_no", "left").drop("_no")
+
+
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of UTF-8 text drawn in to whole characters, so that what is left is text."""
+    out = []
+    for a, b in spans:
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with the repeats cut out of text, at whole characters; null texts stay null, other columns as they are."""
+    names = [f.name for f in docs.schema]
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, packed in zip(b.column(names.index("text")).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                if packed:
+                    raw = text.encode()
+                    text = cut(raw, whole_characters(raw, spans_of(packed))).decode()
+                texts.append(text)
+            columns = [pa.array(texts, pa.string()) if name == "text" else b.column(k) for k, name in enumerate(names)]
+            yield pa.record_batch(columns, names)
+
+    return marked(docs, window).select(*names, "_spans").mapInArrow(trim, docs.schema)
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -307,7 +337,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = marked(docs.select("doc_id", "text"), window)
-    return found.select("doc_id", text_or_empty().cast("binary").alias("text"), "spans").mapInArrow(measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", text_or_empty().cast("binary").alias("text"), "_spans").mapInArrow(measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
