@@ -56,12 +56,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     """{length: pieces} -> rows (length, first number, pieces, first sequence, offset), and the number of sequences.
 
     The pieces of a length numbered from `first number` on go one each to the sequences from `first
-    sequence` on, at `offset`.
+    sequence` on, at `offset`. With many more pieces than gaps the plain rule packs tightest; with few, the
+    thrifty one does, which takes a new bin only where no open one has room.
     """
-    return min((_plan(histogram, capacity, int(capacity * x)) for x in SMALL_SHARES), key=lambda x: x[1])
+    tried = [_plan(histogram, capacity, int(capacity * x)) for x in SMALL_SHARES]
+    return min([*tried, _plan(histogram, capacity, 0, thrifty=True)], key=lambda x: x[1])
 
 
-def _plan(histogram: dict[int, int], capacity: int, small: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def _plan(histogram: dict[int, int], capacity: int, small: int, thrifty: bool = False) -> tuple[list[tuple[int, int, int, int, int]], int]:
     bins: dict[int, list[list[int]]] = defaultdict(list)  # by gap: intervals of sequence numbers
     count = np.zeros(capacity + 1, np.int64)  # open bins by gap
     rows, opened = [], 0
@@ -77,15 +79,17 @@ def _plan(histogram: dict[int, int], capacity: int, small: int) -> tuple[list[tu
             left = capacity - length
             fresh = 2 * count[left] + 1 if left else 0
             at = int(np.argmin(change)) if len(gaps) else -1
-            if at >= 0 and change[at] <= fresh:
+            if at >= 0 and (thrifty or change[at] <= fresh):
                 gap = int(gaps[at])
                 others = np.delete(change, at)
-                slack = min(int(others.min()) if len(others) else fresh, fresh) - int(change[at])
+                rival = int(others.min()) if len(others) else 4 * todo + int(change[at])
+                slack = (rival if thrifty else min(rival, fresh)) - int(change[at])
                 n = min(todo, int(count[gap]), max(slack // 4 + 1, -(-batch // STEPS)))
             else:
                 gap = capacity
                 slack = (int(change.min()) if len(gaps) else 4 * todo) - fresh
-                n = min(todo, max(slack // 2 + 1, -(-batch // STEPS)))
+                # of like pieces, capacity // length share a bin
+                n = -(-todo // (capacity // length)) if thrifty else int(min(todo, max(slack // 2 + 1, -(-batch // STEPS))))
                 bins[gap].append([opened, n])
                 opened += n
             if gap < capacity:

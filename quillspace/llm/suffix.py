@@ -138,7 +138,7 @@ def repeated_windows(parts: list[bytes], starts: np.ndarray, nos: np.ndarray, wi
     no, at = no[~first][order], at[~first][order]
     # runs of windows become spans, of under 2^16 bytes each
     new = np.flatnonzero(np.concatenate([[True], (no[1:] != no[:-1]) | (at[1:] != at[:-1] + 1)])) if len(no) else np.zeros(0, np.int64)
-    lasts = np.append(new[1:], len(no)) - 1
+    lasts = np.append(new[1:], len(no))[: len(new)] - 1
     return no[new], at[new] << 16 | (at[lasts] - at[new] + window)
 
 

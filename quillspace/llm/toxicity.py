@@ -141,7 +141,8 @@ def _model(docs: DataFrame, weights: np.ndarray, bias: float):
                 heavy = np.flatnonzero(dense[found])
                 keys = np.unique(doc[heavy] << BITS | found[heavy].astype(np.int64))
                 sums.append(np.bincount(keys >> BITS, dense[keys & ((1 << BITS) - 1)], len(part)) + start)
-            return 1 / (1 + np.exp(-np.clip(np.concatenate(sums), -700, 700)))
+            with np.errstate(over="ignore"):
+                return 1 / (1 + np.exp(-np.concatenate(sums)))
 
         return scores
 
