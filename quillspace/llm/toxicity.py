@@ -21,7 +21,7 @@ from .words import Words, chunks
 
 BITS = 20
 #: Labelled rows that the model is fitted on, at most, of each class; taken by a hash of doc_id.
-TRAIN_PER_CLASS = 2500
+TRAIN_PER_CLASS = 2000
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: Gaps of word pairs: 1 for bigrams, 2 and 3 for skip-grams.
@@ -66,21 +66,29 @@ def distinct(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def train(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """FTRL-proximal with per-coordinate rates -> weights (float32), bias. No rows: zero weights, bias -inf."""
+def train(rows: list[bytes], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """FTRL-proximal with per-coordinate rates -> weights (float32), bias. No rows: zero weights, bias -inf.
+
+    rows: distinct features of each document as unsigned 32-bit integers; each is dropped once it is read.
+    """
     size = 1 << BITS
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
     if not rows:
         return np.zeros(size, np.float32), -np.inf
+    seen = np.zeros(size, np.uint16)
+    for x in rows:
+        seen[np.frombuffer(x, "<u4")] += 1
+    withs = []
+    for k in range(len(rows)):
+        at = np.frombuffer(rows[k], "<u4")
+        withs.append(np.append(at[seen[at] >= LEAST], np.uint32(size)))
+        rows[k] = b""
+    z, n = np.zeros(size + 1), np.zeros(size + 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
         zs = z[at]
         w = -(zs - np.sign(zs) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
         return np.where((np.abs(zs) <= L1) & (at < size), 0.0, w)
 
-    often = np.bincount(np.concatenate(rows), minlength=size + 1) >= LEAST
-    often[size] = True
-    withs = [np.append(x[often[x]], size) for x in rows]
     order = np.random.default_rng(0)
     for _ in range(epochs):
         for k in order.permutation(len(withs)):
@@ -116,8 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
     found = texts.mapInArrow(extract, "doc_id long, toxic int, features binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["toxic"], bytes(r["features"])))
-    weights, bias = train([np.frombuffer(r["features"], "<u4").astype(np.int64) for r in found], [r["toxic"] for r in found])
+    found = sorted((r["doc_id"], r["toxic"], bytes(r["features"])) for r in found)
+    truth, rows = [r[1] for r in found], [r[2] for r in found]
+    del found
+    weights, bias = train(rows, truth)
     taken = [min(TRAIN_PER_CLASS, counts.get(y, 0)) for y in (0, 1)]
     if all(taken):
         bias += float(np.log(counts[1] / taken[1]) - np.log(counts[0] / taken[0]))
