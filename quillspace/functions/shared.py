@@ -20,10 +20,10 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """df with its place, from 1, in a global order, without gathering all rows in one task.
 
-    Rows are range-sorted, numbered within their partitions, and shifted by the sizes of the partitions
-    before, of which there are as many as tasks.
+    Rows are range-sorted (or taken as they come, without an order), numbered within their partitions,
+    and shifted by the sizes of the partitions before, of which there are as many as tasks.
     """
-    marked = kept(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    marked = kept((df.orderBy(*order) if order else df).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", 33).alias("_part")
     sizes = {r["_part"]: r["n"] for r in marked.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, rows = 0, []
@@ -34,3 +34,13 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     joined = marked.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")
     place = F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1
     return joined.withColumn(out, place.cast("long")).drop("_at", "_part", "_before")
+
+
+def numbered_within(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """df with its place, from 1, within each key; a key may hold any share of the rows.
+
+    Places in one order by key are shifted by where each key starts.
+    """
+    placed = numbered(df, [*[F.asc(k) for k in keys], *order], "_place")
+    starts = placed.groupBy(*keys).agg(F.min("_place").alias("_start"))
+    return placed.join(starts, keys).withColumn(out, F.col("_place") - F.col("_start") + 1).drop("_place", "_start")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import numbered_within
+
 
 def average_rank(scored: DataFrame, keys: list[str], score: str = "score", out: str = "rank") -> DataFrame:
-    """Descending ranks within keys; ties share their mean."""
-    within = Window.partitionBy(*keys)
-    tied = F.count(F.lit(1)).over(Window.partitionBy(*keys, score))
-    return scored.withColumn(out, F.rank().over(within.orderBy(F.desc(score))) + (tied - 1) / 2)
+    """Descending ranks within keys; ties share their mean. Places come from one order over all keys, so no key is gathered in a task."""
+    placed = numbered_within(scored, keys, [F.desc(score)], "_p")
+    tied = placed.groupBy(*keys, score).agg(F.avg("_p").alias(out))
+    return placed.drop("_p").join(tied, [*keys, score])
 
 
 def target_ranks(scored: DataFrame, targets: DataFrame, keys: list[str], item: str = "item") -> DataFrame:

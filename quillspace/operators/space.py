@@ -187,22 +187,6 @@ def order_memory_beagle(tokens: DataFrame, dim: int, longest: int = 7, seed: int
     return V.summed(lists.mapInArrow(scan, "token string, vec array<double>"), ["token"], "vec").drop("n")
 
 
-def beagle_legacy(sentences: list[list[str]], env: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The older model's fold, which depends on the order of sentences: each word's memory starts as its
-    environment; in turn it takes in the others of a sentence and is divided by |its largest value|.
-    """
-    memory = {w: v.astype(np.float64).copy() for w, v in env.items()}
-    for sentence in sentences:
-        if len(sentence) < 2:
-            continue
-        total = sum(env[w].astype(np.float64) for w in sentence)
-        for w in sentence:
-            row = memory[w] + total - env[w]
-            top = abs(row.max())
-            memory[w] = row / (top if top else 1.0)
-    return memory
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, label: str = "label", vec: str = "vec") -> DataFrame:
     """query, label, score, rank: the k nearest other rows of vectors for each row of queries.
 
