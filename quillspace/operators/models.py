@@ -26,6 +26,8 @@ from .space import Binding
 BROADCAST_BYTES = 64_000_000
 #: Numbers of partial sums and of environment vectors that a task holds at most.
 HELD = 16_000_000
+#: Numbers in the stacked vectors of sentences that are summed at a time.
+GROUP = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -96,7 +98,7 @@ def environment(token: str, model: Model) -> np.ndarray:
     draw = np.random.default_rng(state)
     if model.environment == "gaussian":
         return (draw.standard_normal(model.dim) / np.sqrt(model.dim)).astype(np.float32).astype(np.float64)
-    out = np.zeros(model.dim)
+    out = np.zeros(model.dim, np.float32)  # sums of it are whole numbers
     at = draw.permutation(model.dim)[: model.nonzeros]
     out[at[::2]], out[at[1::2]] = 1.0, -1.0
     return out
@@ -119,53 +121,88 @@ class Environment(dict):
 # --- memories ---
 
 
-def contexts(x: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """For each word of a sentence the sum of the other kept words' vectors."""
-    kept = x * keep[:, None]
-    return kept.sum(axis=0) - kept
+def contexts(x: np.ndarray, keep: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each word of sentences of these sizes, stacked in x, the sum of the other kept words' vectors of its sentence."""
+    kept = x * keep[:, None].astype(x.dtype)
+    return np.repeat(np.add.reduceat(kept, np.cumsum(sizes) - sizes, axis=0), sizes, axis=0) - kept
 
 
-def rolled_order(x: np.ndarray, window: int) -> np.ndarray:
-    """For each word of a sentence the vectors of its neighbours, rolled by their distance."""
-    out = np.zeros_like(x)
-    for k in range(1, min(window, len(x) - 1) + 1):
-        out[:-k] += np.roll(x[k:], k, axis=1)
-        out[k:] += np.roll(x[:-k], -k, axis=1)
-    return out
+def rolled_order(ids: np.ndarray, sizes: np.ndarray, env: np.ndarray, window: int) -> np.ndarray:
+    """For each row of env, over all places of its word in sentences of these sizes: its neighbours' vectors, rolled by their distance.
+
+    Pairs of words are counted first, and only the places of a vector that are not zero are added.
+    """
+    n, dim = env.shape
+    row, place = np.nonzero(env)
+    value, first = env[row, place], np.searchsorted(row, np.arange(n + 1))
+    end = np.repeat(np.cumsum(sizes), sizes)
+    out = np.zeros(n * dim)
+    for k in range(1, window + 1):
+        at = np.flatnonzero(np.arange(len(ids)) + k < end)
+        for word, near, shift in ((ids[at], ids[at + k], k), (ids[at + k], ids[at], -k)):
+            pairs, times = np.unique(word * n + near, return_counts=True)
+            word, near = pairs // n, pairs % n
+            length = first[near + 1] - first[near]
+            spot = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first[near], length)
+            out += np.bincount(np.repeat(word, length) * dim + (place[spot] + shift) % dim, value[spot] * np.repeat(times, length), n * dim)
+    return out.reshape(n, dim)
+
+
+def memories(sentences: list[list[str]], env: Environment, model: Model, binding: Binding | None) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(word, kind, sum over the sentences' places of the word); kind is 0 for context, 1 for order."""
+    sizes = np.array([len(s) for s in sentences])
+    known: dict[str, int] = {}
+    ids = np.array([known.setdefault(w, len(known)) for s in sentences for w in s])
+    matrix = np.stack([env[w] for w in known])
+    order = np.argsort(ids, kind="stable")
+    bounds = np.searchsorted(ids[order], np.arange(len(known)))
+    by_word = lambda rows: np.add.reduceat(rows[order], bounds, axis=0)
+    if model.context:
+        stop = model.stop
+        keep = np.array([w not in stop for w in known])
+        for w, v in zip(known, by_word(contexts(matrix[ids], keep[ids], sizes)), strict=True):
+            yield w, 0, v
+    if model.order:
+        made = by_word(binding.order(matrix[ids], model.max_ngram, sizes)) if binding else rolled_order(ids, sizes, matrix, model.window)
+        for w, v in zip(known, made, strict=True):
+            yield w, 1, v
 
 
 def _sums(sentences: DataFrame, model: Model) -> DataFrame:
     """sentences(words) -> token, kind (0 context, 1 order), vec: sums over all sentences of two words or more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        env, stop = Environment(model), model.stop
+        env = Environment(model)
         binding = Binding(model.dim, model.seed) if model.order and model.name == "beagle" else None
         sums: dict[tuple[str, int], np.ndarray] = {}
+        group, held = [], 0
+
+        def add() -> None:
+            for w, kind, v in memories(group, env, model, binding):
+                if (w, kind) in sums:
+                    sums[w, kind] += v
+                else:
+                    sums[w, kind] = v.astype(np.float64)
 
         def flush() -> pa.RecordBatch:
-            made = pa.record_batch([pa.array([t for t, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int8()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["token", "kind", "vec"])
+            flat = pa.array(np.concatenate([np.zeros(0), *sums.values()]))
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * model.dim), flat)
+            made = pa.record_batch([pa.array([t for t, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int8()), vec], ["token", "kind", "vec"])
             sums.clear()
             return made
 
         for b in batches:
             for words in b.column(0).to_pylist():
-                x = np.stack([env[w] for w in words])
-                parts = []
-                if model.context:
-                    parts.append((0, contexts(x, np.array([w not in stop for w in words]))))
-                if model.order:
-                    parts.append((1, binding.order(x, model.max_ngram) if binding else rolled_order(x, model.window)))
-                for kind, rows in parts:
-                    for w, v in zip(words, rows, strict=True):
-                        held = sums.get((w, kind))
-                        if held is None:
-                            sums[w, kind] = v.copy()
-                        else:
-                            held += v
-                if len(sums) * model.dim > HELD // 8:
-                    yield flush()
-        if sums:
-            yield flush()
+                group.append(words)
+                held += len(words)
+                if held * model.dim >= GROUP:
+                    add()
+                    group, held = [], 0
+                    if len(sums) * model.dim > HELD // 4:
+                        yield flush()
+        if group:
+            add()
+        yield flush()
 
     found = sentences.where(F.size("words") >= 2).select("words").mapInArrow(scan, "token string, kind byte, vec array<double>")
     summed = found.withColumn("_v", array_to_vector("vec")).groupBy("token", "kind").agg(Summarizer.sum(F.col("_v")).alias("_v"))

@@ -140,7 +140,7 @@ class Binding:
     def __init__(self, dim: int, seed: int = 0):
         draw = np.random.default_rng([seed, dim])
         self.dim = dim
-        self.phi = draw.standard_normal(dim) / np.sqrt(dim)
+        self.phi = (draw.standard_normal(dim) / np.sqrt(dim)).astype(np.float32)
         self.left, self.right = draw.permutation(dim), draw.permutation(dim)
         self.phi_right = np.fft.rfft(self.phi[self.right])
 
@@ -151,18 +151,38 @@ class Binding:
     def _joined(self, a: np.ndarray, b_right: np.ndarray) -> np.ndarray:
         return np.fft.irfft(np.fft.rfft(a[..., self.left]) * b_right, n=self.dim)
 
-    def order(self, x: np.ndarray, longest: int) -> np.ndarray:
-        """For each word of a sentence: all windows of 2 to `longest` words with it, it replaced by the placeholder, bound from the left."""
+    def order(self, x: np.ndarray, longest: int, sizes: np.ndarray | None = None) -> np.ndarray:
+        """For each word of sentences of these sizes (default: one), stacked in x: all windows of 2 to
+        `longest` words with it, it replaced by the placeholder, bound from the left.
+
+        Windows that start at all words at once grow a word at a time; what stands before the placeholder
+        is bound once for all windows that share it.
+        """
         n = len(x)
         out = np.zeros((n, self.dim))
+        end = np.repeat(np.cumsum(sizes), sizes) if sizes is not None else np.full(n, n)
         right = np.fft.rfft(x[:, self.right], axis=1) if n else x
-        for target in range(n):
-            for start in range(max(0, target - longest + 1), target + 1):
-                chain = self.phi if start == target else x[start]
-                for at in range(start + 1, min(n, start + longest)):
-                    chain = self._joined(chain, self.phi_right if at == target else right[at])
-                    if at >= target:
-                        out[target] += chain
+        before, starts = x, np.arange(n)
+        for j in range(longest):  # place of the placeholder in the window
+            room = starts + j < end[starts]
+            if j > 1:
+                before = self._joined(before[room], right[starts[room] + j - 1])
+            elif j == 1:
+                before = x[starts[room]]
+            starts = starts[room]
+            if not len(starts):
+                break
+            at, chain = starts, np.broadcast_to(self.phi, (len(starts), self.dim))
+            if j:
+                chain = self._joined(before, self.phi_right)
+                out[at + j] += chain
+            for k in range(j + 1, longest):
+                room = at + k < end[at]
+                at = at[room]
+                if not len(at):
+                    break
+                chain = self._joined(chain[room], right[at + k])
+                out[at + j] += chain
         return out
 
 

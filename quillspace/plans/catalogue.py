@@ -15,7 +15,9 @@ from ..operators import lexical as L
 from ..operators import passages as P
 from ..operators import project as M
 from ..operators import search as S
+from ..operators import simulate as R
 from ..operators import space as X
+from ..sources import mapping as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -472,6 +474,102 @@ def picker_lookup(spark, sf_dir):
     return S.pick(labels, "C1")
 
 
+# --- documents from records, and what an export holds ---
+
+
+def _mapped(spark, sf_dir):
+    mapping = D.FieldMapping.from_options(["text"], ["lang", "parts=source:_"], "doc_id")
+    return D.documents(read(spark, sf_dir, "documents"), mapping)
+
+
+@query("""with l as (select cast(doc_id as varchar) as id, unnest([lang]) as level, 'lang' as factor from documents
+  union all select cast(doc_id as varchar), unnest(string_split(source, '_')), 'parts' from documents)
+select id, factor, trim(level) as level, count(*) as n from l where trim(level) <> '' group by all""")
+def record_factors(spark, sf_dir):
+    levels = _mapped(spark, sf_dir).select("id", F.explode("factors").alias("factor", "_l"))
+    return levels.select("id", "factor", F.explode("_l").alias("level")).groupBy("id", "factor", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""select cast(doc_id as varchar) as id, case when trim(text) <> '' then substr(text, 1, 120) else cast(doc_id as varchar) end as title,
+  case when trim(text) <> '' then 1 else 0 end as n_units, json_extract_string(json_object('n', n_chars), '$.n') as n_chars from documents""")
+def record_titles(spark, sf_dir):
+    docs = D.embedded(_mapped(spark, sf_dir))
+    return docs.select("id", D.title().alias("title"), F.size("units").alias("n_units"), F.get_json_object("meta", "$.n_chars").alias("n_chars"))
+
+
+@query("""with v as (select source, row_number() over (order by min(doc_id), source) as code from documents group by source)
+select doc_id, code from documents join v using (source)""")
+def export_factor_codes(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    codes = numbered(docs.groupBy("source").agg(F.min("doc_id").alias("_f")), [F.asc("_f"), F.asc("source")], "code").select("source", "code")
+    return docs.join(codes, "source").select("doc_id", "code")
+
+
+@query("with n as (select doc_id, row_number() over (order by doc_id, text) as row from documents) select (row - 1) // 500 as shard, count(*) as n, min(doc_id) as first from n group by 1")
+def export_shards(spark, sf_dir):
+    placed = numbered(_docs(spark, sf_dir).select("doc_id", "text"), [F.asc("doc_id"), F.asc("text")], "row")
+    return placed.groupBy(F.floor((F.col("row") - 1) / 500).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
+@query("select vec_id as row, cast((i + 2) % 64 + 1 as bigint) as i, x from (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding) as x from embeddings)")
+def vector_roll(spark, sf_dir):
+    rolled = _space(spark, sf_dir).select("row", F.posexplode(V.roll(F.col("vec"), 3)).alias("i", "x"))
+    return rolled.select("row", (F.col("i") + 1).cast("long").alias("i"), "x")
+
+
+@query("select vec_id as row, case when list_max(embedding) = 0 then 1 else round(abs(cast(list_max(embedding) as double)), 6) end as top from embeddings")
+def vector_abs_max(spark, sf_dir):
+    return _space(spark, sf_dir).select("row", F.round(V.abs_max(F.col("vec")).cast("double"), 6).alias("top"))
+
+
+@query("""with m as (select vec_id as row, embedding, list_max(list_transform(embedding, lambda x: abs(cast(x as double)))) as top from embeddings),
+q as (select row, list_transform(embedding, lambda x: round_even(cast(x as double) / top * 127, 0) * (top / 127)) as back, list_transform(embedding, lambda x: cast(x as double)) as v from m)
+select row, round(list_cosine_similarity(back, v), 6) as score from q""")
+def int8_cosine(spark, sf_dir):
+    space = _space(spark, sf_dir)
+    return space.select("row", F.round(V.cosine(V.dequantize(V.quantize(F.col("vec"))), F.col("vec").cast("array<double>")), 6).alias("score"))
+
+
+@query(f"""with {_tokens()}, {_ENV}, {_ELIGIBLE}, kept as (select * from el where token not in ({_STOP})),
+s as (select doc_id, sent, dim, sum(x) as x from kept join env using (token) group by doc_id, sent, dim),
+parts as (select token, dim, x from el join s using (doc_id, sent) union all select token, dim, -x from kept join env using (token)),
+context as (select token, dim, cast(sum(x) as double) as x from parts group by token, dim having sum(x) <> 0),
+near as (select a.token, b.token as near, b.pos - a.pos as k, count(*) as n
+  from tok a join tok b on a.doc_id = b.doc_id and a.sent = b.sent and abs(b.pos - a.pos) between 1 and {WINDOW} group by a.token, b.token, b.pos - a.pos),
+orders as (select n.token, cast((e.dim + n.k + {DIM}) % {DIM} as integer) as dim, cast(sum(n.n * e.x) as double) as x from near n join env e on e.token = n.near group by 1, 2 having sum(n.n * e.x) <> 0),
+units as (select token, dim, x / sqrt(sum(x * x) over (partition by token)) as x from context union all select token, dim, x / sqrt(sum(x * x) over (partition by token)) from orders)
+select token, dim, round(sum(x), 6) + 0 as x from units group by token, dim""")
+def rp_composite_vectors(spark, sf_dir):
+    tokens = _toks(spark, sf_dir)
+    made = X.beagle_rp(tokens, _env(tokens), DIM, WINDOW, T.ENGLISH)
+    return made.select("token", "dim", (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query(f"""with {_tokens()}, {_TERMS}, {_ENV}, {_DOCS}, {_QUERY_VECTOR}, {_SEMANTIC},
+r as (select doc_id, round(semantic, 6) as score, row_number() over (order by round(semantic, 6) desc, doc_id) as rank from sem where doc_id in (select doc_id from documents where lang = 'en'))
+select rank, doc_id, score from r where rank <= 10""")
+def masked_semantic_topk(spark, sf_dir):
+    scored = _semantic(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score")).join(_docs(spark, sf_dir), "doc_id")
+    return S.top(scored, 10, F.col("lang") == "en", "doc_id").select(F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+@query()
+def paragraph_merge(spark, sf_dir):
+    """Turns as blocks of pages, one page for each turn; their sentences as blocks."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("block", "text"))
+    blocks = turns.withColumn("top", F.lit(0.3)).withColumn("bottom", F.lit(0.6))
+    return P.paragraphs(P.without_margins(blocks))
+
+
+@query()
+def simulations(spark, sf_dir):
+    """The three simulations with the benchmark's items as documents and targets."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), T.sentence_tokens(F.array(F.coalesce("text", F.lit("")))).alias("_u"))
+    sentences = items.select("doc", F.explode("_u").alias("_s")).select("doc", F.posexplode("_s").alias("sent", "words"))
+    plan = R.Plan(("random", "wordmatch", "bm25", "hybrid"), (25, 100), 20, (1, 2, 3), reference="random", params={"random": {"dim": 64}}, min_tokens=3)
+    return R.simulate(sentences, items.select("doc"), plan).rank_summary()
+
+
 @query()
 def chunk_pack(spark, sf_dir):
     """Conversations as documents, turns as paragraphs."""
