@@ -456,12 +456,12 @@ def merge_identical_text(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.array_join(F.array_sort(F.collect_set("source")), ";").alias("sources"))
 
 
-@query(r"""with s as (select page_id, trim(regexp_replace(regexp_replace(lower(unnest(string_split(html, chr(10)))), '[0-9]+', '#', 'g'), '[ \t\n\f\r\v]+', ' ', 'g')) as key from pages),
+@query(r"""with s as (select page_id, trim(regexp_replace(regexp_replace(lower(unnest(string_split(html, '>'))), '[0-9]+', '#', 'g'), '[ \t\n\f\r\v]+', ' ', 'g')) as key from pages),
 p as (select count(*) as n from pages)
 select key, count(distinct page_id) as seen from s, p where key <> '' group by key, n having count(distinct page_id) >= greatest(2, ceil(n * cast(0.3 as double)))""")
 def margin_vote(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
-    keys = pages.select("page_id", F.explode(F.split("html", "\n")).alias("line")).select("page_id", T.margin_key(F.col("line")).alias("key"))
+    keys = pages.select("page_id", F.explode(F.split("html", ">")).alias("line")).select("page_id", T.margin_key(F.col("line")).alias("key"))
     seen = keys.where("key <> ''").groupBy("key").agg(F.countDistinct("page_id").alias("seen"))
     n = F.broadcast(pages.agg(F.count(F.lit(1)).alias("_n")))  # one row
     return seen.crossJoin(n).where(F.col("seen") >= F.greatest(F.lit(2), F.ceil(F.col("_n") * 0.3))).select("key", "seen")
@@ -566,7 +566,7 @@ def simulations(spark, sf_dir):
     """The three simulations with the benchmark's items as documents and targets."""
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), T.sentence_tokens(F.array(F.coalesce("text", F.lit("")))).alias("_u"))
     sentences = items.select("doc", F.explode("_u").alias("_s")).select("doc", F.posexplode("_s").alias("sent", "words"))
-    plan = R.Plan(("random", "wordmatch", "bm25", "hybrid"), (25, 100), 20, (1, 2, 3), reference="random", params={"random": {"dim": 64}}, min_tokens=3)
+    plan = R.Plan(("random", "wordmatch", "bm25", "hybrid"), (50,), 20, (1, 2, 3), reference="random", params={"random": {"dim": 64}}, min_tokens=3)
     return R.simulate(sentences, items.select("doc"), plan).rank_summary()
 
 
