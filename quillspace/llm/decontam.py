@@ -28,7 +28,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's own score, and least words in common (or the whole item).
 SCORE, WORDS = 0.5, 8
 #: Characters of items that are broadcast at a time.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 
 
 class Items:

@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Characters of texts handled at a time.
-CHUNK = 1_000_000
+#: Characters of texts handled at a time; a longer text is handled by itself.
+CHUNK = 200_000
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LETTER = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
