@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one row in this many; so at most this many keys are hot.
 HOT_SHARE = 1000
+#: Narrow rows in a partition of a table whose size is known.
+ROWS_PER_PART = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +30,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/quillspace/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut, and a lost executor loses no work."""
+def sized(df: DataFrame, rows: int, each: int = ROWS_PER_PART) -> DataFrame:
+    """df of `rows` narrow rows at most, in no more partitions than hold `each` of them; so small tables are few files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage is cut, and a lost executor loses no work.
+
+    rows: a bound of its rows if one is known and they are narrow; see sized().
+    """
     spark = df.sparkSession
+    df = df if rows is None else sized(df, rows)
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize, table, text_or_empty
+from .common import join_hot, materialize, sized, table, text_or_empty
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -253,14 +253,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     and link like any other. A null doc_id is never a component's id unless all in it are null.
     """
     rows = materialize(fingerprints(docs, size), "fingerprints")
-    groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fp-groups")
-    sums = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
-    roots = components(linked(groups, sums[0]))
+    total = rows.count()
+    groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fp-groups", total)
+    distinct = groups.count()
+    roots = components(linked(groups, distinct))
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "fp-roots")
+    rooted = materialize(rooted, "fp-roots", distinct)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("fp", "n", "component_id"), "fp-components")
-    out = join_hot(rows, named, "fp", "n", sums[1] or 0)
+    named = materialize(rooted.join(least, "root").select("fp", "n", "component_id"), "fp-components", distinct)
+    out = sized(join_hot(rows, named, "fp", "n", total), total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
