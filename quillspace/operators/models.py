@@ -14,9 +14,10 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -250,11 +251,6 @@ def environments(words: DataFrame, model: Model) -> DataFrame:
     return words.select("token").mapInArrow(make_all, "token string, vec array<double>")
 
 
-def _unit(v: Column) -> Column:
-    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)
-
-
 def word_vectors(sentences: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
     """sentences(doc, sent, words), vocab(token) -> token, vec (array<float>): a row for each word of vocab.
 
@@ -267,7 +263,8 @@ def word_vectors(sentences: DataFrame, vocab: DataFrame, model: Model) -> DataFr
         return found.unionByName(environments(rest, model)).select("token", F.col("vec").cast("array<float>").alias("vec"))
     if not (model.context or model.order):
         return environments(vocab, model).select("token", F.col("vec").cast("array<float>").alias("vec"))
-    units = _sums(sentences, model).withColumn("_v", array_to_vector(_unit(F.col("vec"))))
+    sums = _sums(sentences, model).select("token", array_to_vector("vec").alias("_w"))
+    units = Normalizer(p=2.0, inputCol="_w", outputCol="_v").transform(sums)  # a zero vector stays zero
     added = units.groupBy("token").agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("vec"))
     zero = F.array_repeat(F.lit(0.0), model.dim)
     return vocab.select("token").join(added, "token", "left").select("token", F.coalesce("vec", zero).cast("array<float>").alias("vec"))
