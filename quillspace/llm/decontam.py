@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-A first pass counts, over all documents, those with each word n-gram of a test item. An n-gram seeds
-its item if it is about as rare as the rarest around it; so every stretch of an item has seeds, and
-common phrases seed nothing. A second pass finds seeds in passages and aligns the item with the words
-around them; edited and paraphrased copies score by what they share in order. Documents never move:
-what is broadcast is a block of items of bounded size, and more items are taken in more blocks.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Each word n-gram of a test item is a seed of it, however many documents hold it: counts cannot tell a
+common phrase from what many edited copies of an item still share. One pass finds seeds in passages.
+Where the words around them cannot reach the least score in any order, as around a common phrase, the
+item is passed over; else it is aligned with them. Edited and paraphrased copies score by what they
+share in order. Documents never move: what is broadcast is a block of items of bounded size, and more
+items are taken in more blocks.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from .common import table, text_or_empty
 from .words import Words, chunks, ngrams
 
 SEED = 4
-#: N-grams around one that it is compared with, and how many times their least count it may have.
-AROUND, TIMES = 8, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's own score, and least words in common (or the whole item).
 SCORE, WORDS = 0.5, 8
@@ -49,26 +48,6 @@ class Items:
                     self.grams[n][h].append((k, p))
         self.grams = {n: dict(x) for n, x in self.grams.items()}
 
-    def keys(self) -> dict[int, np.ndarray]:
-        return {n: np.array(sorted(x), np.uint64) for n, x in self.grams.items()}
-
-    def rare(self, counts: dict[tuple[int, int], int]) -> dict[int, dict[int, list[tuple[int, int]]]]:
-        """Seeds: the n-grams whose count is at most TIMES the least among the AROUND next to them in the item."""
-        by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for n, found in self.grams.items():
-            for h, places in found.items():
-                for k, p in places:
-                    by_item[k].append((p, n, h))
-        seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, grams in by_item.items():
-            grams.sort()
-            n_docs = [counts.get((n, h), 0) for _, n, h in grams]
-            for j, (p, n, h) in enumerate(grams):
-                least = min(n_docs[max(0, j - AROUND // 2) : j + AROUND // 2 + 1])
-                if n_docs[j] <= TIMES * max(1, least):
-                    seeds[n][h].append((k, p))
-        return {n: dict(x) for n, x in seeds.items()}
-
 
 def _hits(texts: list[str], keys: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each n-gram size: the size, documents of words, places of hits, their hashes, all words' hashes."""
@@ -106,31 +85,34 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return score, end - back, end
 
 
-def leaks(texts: list[str], items: Items, seeds: dict[int, dict[int, list[tuple[int, int]]]]) -> dict[int, list[tuple[int, float, int, int]]]:
+def leaks(texts: list[str], items: Items) -> dict[int, list[tuple[int, float, int, int]]]:
     """For each text with a leak: (place of the item, score, first word, last word excluded), one for each item."""
     found: dict[tuple[int, int], list[int]] = defaultdict(list)
     all_words, docs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = {n: np.array(sorted(x), np.uint64) for n, x in seeds.items()}
+    keys = {n: np.array(sorted(x), np.uint64) for n, x in items.grams.items()}
     for n, docs, at, hashes, all_words in _hits(texts, keys):
         for p, h in zip(at.tolist(), hashes.tolist(), strict=True):
-            for item, place in seeds[n][h]:
+            for item, place in items.grams[n][h]:
                 found[int(docs[p]), item].append(p - place)
     out: dict[int, list[tuple[int, float, int, int]]] = defaultdict(list)
     for (doc, item), starts in sorted(found.items()):
         own = items.words[item]
         begin, stop = np.searchsorted(docs, [doc, doc + 1]).tolist()
         best, slack = (0.0, 0, 0), len(own) // 2 + 1
+        least = max(SCORE * len(own), min(WORDS, len(own)))
         starts.sort()
         low = 0
         for k in range(1, len(starts) + 1):
             if k < len(starts) and starts[k] - starts[k - 1] <= slack:
                 continue
             a, b = max(begin, starts[low] - slack), min(stop, starts[k - 1] + len(own) + slack)
+            low = k
+            if np.isin(own, all_words[a:b]).sum() < least:
+                continue  # a score is at most that of all words in common
             score, first, last = align(own, all_words[a:b])
             same = np.isin(own, all_words[a + first : a + last]).sum()
             if score / (MATCH * len(own)) > best[0] and (same >= WORDS or same == len(own)):
                 best = (score / (MATCH * len(own)), a + first - begin, a + last - begin)
-            low = k
         if best[0] >= SCORE:
             out[doc].append((item, *best))
     return out
@@ -149,24 +131,6 @@ def blocks(items: DataFrame) -> Iterator[Items]:
         yield Items(held)
 
 
-def counted(docs: DataFrame, items: Items) -> dict[tuple[int, int], int]:
-    """Documents with each n-gram of the items, over all of docs."""
-    keys = items.keys()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], int] = defaultdict(int)
-        for b in batches:
-            for part in chunks(b.column(0).to_pylist()):
-                for n, doc, at, found, _ in _hits(part, keys):
-                    pairs = np.unique(np.stack([doc[at].astype(np.uint64), found]), axis=1)
-                    for h, k in zip(*(x.tolist() for x in np.unique(pairs[1], return_counts=True)), strict=True):
-                        sums[n, h] += k
-        yield pa.record_batch([pa.array([n for n, _ in sums], pa.int32()), pa.array(np.array([h for _, h in sums], np.uint64).view(np.int64)), pa.array(list(sums.values()), pa.int64())], ["n", "h", "docs"])
-
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(count, "n int, h long, docs long").groupBy("n", "h").agg(F.sum("docs").alias("docs")).collect()  # at most the items' n-grams
-    return {(r["n"], r["h"] & (1 << 64) - 1): r["docs"] for r in rows}
-
-
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> doc_id, item_id, score, first_word, last_word: a row for each leak.
 
@@ -177,13 +141,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())])
     out = docs.sparkSession.createDataFrame([], schema)
     for block in blocks(items):
-        seeds = block.rare(counted(docs, block))
-
-        def find(batches: Iterator[pa.RecordBatch], block: Items = block, seeds: dict = seeds) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids, at, rows = b.column(0).to_pylist(), 0, []
                 for part in chunks(b.column(1).to_pylist()):
-                    rows += [(ids[at + doc], block.ids[item], score, a, z) for doc, hits in leaks(part, block, seeds).items() for item, score, a, z in hits]
+                    rows += [(ids[at + doc], block.ids[item], score, a, z) for doc, hits in leaks(part, block).items() for item, score, a, z in hits]
                     at += len(part)
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = (b.schema.field(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -197,14 +159,12 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that hold a leak; all columns and other rows stay as they are."""
     names = [f.name for f in docs.schema]
     for block in blocks(items):
-        seeds = block.rare(counted(docs, block))
-
-        def keep(batches: Iterator[pa.RecordBatch], block: Items = block, seeds: dict = seeds) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = [x or "" for x in b.column(names.index("text")).to_pylist()]
                 clean, at = np.ones(len(texts), bool), 0
                 for part in chunks(texts):
-                    clean[[at + doc for doc in leaks(part, block, seeds)]] = False
+                    clean[[at + doc for doc in leaks(part, block)]] = False
                     at += len(part)
                 yield b.filter(pa.array(clean))
 

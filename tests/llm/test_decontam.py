@@ -42,3 +42,24 @@ def test_finds_copies_and_leaves_the_rest(spark, make, odd):
     assert {r["doc_id"] for r in kept.collect()} == {*range(60), 103, 104} and kept.schema == make(rows).schema
     assert d.contaminated(odd, table).count() == 0 and d.contaminated(make([]), table).count() == 0
     assert d.contaminated(odd, table.limit(0)).count() == 0 and d.decontaminated(odd, table.limit(0)).count() == odd.count()
+
+
+def test_finds_an_edited_item_however_often_it_leaks(spark, make):
+    items = {0: unlike(1000, 30), 1: unlike(1001, 60)}
+    edited = {k: " ".join(w if i % n else "changed" for i, w in enumerate(items[k].split())) for k, n in ((0, 7), (1, 10))}
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for copies in (5, 50, 1000):
+        for exact in (0, 1):
+            rows = [(10 * i + k, f"{unlike(i, 10)} {edited[k]}") for i in range(1, copies + 1) for k in items]
+            rows += [(5, items[0]), (6, items[1])] if exact else []
+            rows += [(-i, unlike(5000 + i, 100)) for i in range(1, 21)]
+            got = {r["doc_id"] for r in d.contaminated(make(rows), table).collect()}
+            assert got == {i for i, _ in rows if i > 0}
+
+
+def test_a_common_phrase_is_no_leak(spark, make):
+    own = lambda seed, n: " ".join(f"{w}{seed}" for w in prose(seed, n).split())
+    phrase = prose(1, 6)
+    table = spark.createDataFrame([(k, f"{own(1000 + k, 30)} {phrase}") for k in range(5)], "item_id long, text string")
+    rows = [(i, f"{own(i, 40)} {phrase} {own(300 + i, 40)}") for i in range(200)]
+    assert d.contaminated(make(rows), table).count() == 0
