@@ -563,11 +563,10 @@ def paragraph_merge(spark, sf_dir):
 
 @query()
 def simulations(spark, sf_dir):
-    """The three simulations with the benchmark's items as documents and targets."""
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), T.sentence_tokens(F.array(F.coalesce("text", F.lit("")))).alias("_u"))
-    sentences = items.select("doc", F.explode("_u").alias("_s")).select("doc", F.posexplode("_s").alias("sent", "words"))
-    plan = R.Plan(("random", "wordmatch", "bm25", "hybrid"), (50,), 20, (1, 2, 3), reference="random", params={"random": {"dim": 64}}, min_tokens=3)
-    return R.simulate(sentences, items.select("doc"), plan).rank_summary()
+    """The three simulations over all documents, with the plan's own methods, query sizes and targets."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.sentence_tokens(F.array(F.coalesce("text", F.lit("")))).alias("_u"))
+    sentences = docs.select("doc", F.explode("_u").alias("_s")).select("doc", F.posexplode("_s").alias("sent", "words"))
+    return R.simulate(sentences, docs.select("doc"), R.Plan()).rank_summary()
 
 
 @query()
@@ -580,9 +579,8 @@ def chunk_pack(spark, sf_dir):
 
 @query()
 def beagle_order(spark, sf_dir):
-    """Over the benchmark's items, whole."""
-    tokens = L.token_rows(read(spark, sf_dir, "benchmark"), "item_id")
-    made = X.order_memory_beagle(tokens, 64, 3, key="item_id")
+    """Over all documents, at the model's own size and longest n-gram."""
+    made = X.order_memory_beagle(_toks(spark, sf_dir), 1024)
     return made.select("token", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
