@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id; rows with a null one stay."""
-    return docs.join(simhash.redundant(docs), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked fingerprints one row with the smallest doc_id; rows with a null one stay."""
+    return simhash.firsts(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import join_hot, materialize, sized, table, text_or_empty
 from .graph import components
@@ -265,9 +266,31 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def redundant(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id of each document that is not the first of its component."""
-    return near_duplicates(docs, size).where("doc_id <> component_id").select("doc_id").distinct()
+def firsts(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs that are the first of their component, by doc_id; rows with a null one stay.
+
+    Decided by row: where the smallest doc_id is repeated in a component, the smallest fingerprint stays, and
+    of equal ones the first by text and the other columns. Only repeated ids are looked up by fingerprint.
+    """
+    named = near_duplicates(docs, size).where("doc_id is not null").groupBy("doc_id", F.col("fingerprint").alias("_fp")).agg(F.min("component_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    named = materialize(named, "near-duplicates")
+    repeated = materialize(named.groupBy("doc_id").agg(F.sum("_n").alias("_n")).where("_n > 1").select("doc_id"), "repeated-ids")
+    single = docs.join(named.where("doc_id <> _least").select("doc_id").unionByName(repeated).distinct(), "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return single
+    heads = named.where("doc_id = _least").groupBy("doc_id", "_least").agg(F.min("_fp").alias("_fp")).select("doc_id", "_fp")
+    again = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
+    schema = T.StructType([*again.schema.fields, T.StructField("_fp", T.StringType())])
+    at = docs.columns.index("text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [f"{fingerprint((x or '').encode(), size):016x}" for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.string())], [*b.schema.names, "_fp"])
+
+    order = Window.partitionBy("doc_id", "_fp").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    kept = again.mapInArrow(scan, schema).join(heads, ["doc_id", "_fp"], "left_semi")
+    return single.unionByName(kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,11 @@ def test_stages(spark, sf_dir):
     digest = lambda rows: sorted((str(r["doc_id"]), r["piece"], r["length"], r["ids_crc32"]) for r in rows)
     assert digest(whole) == digest(packed)
     assert all(0 <= r["ids_crc32"] <= 0xFFFFFFFF for r in whole)
+
+
+def test_near_duplicates_go_by_row(spark, make):
+    one, two, three, four = (unlike(k, 80) for k in (8001, 8002, 8003, 8004))
+    docs = make([(1, one), (2, one), (2, two), (3, three), (3, three), (3, three), (4, three), (5, four), (None, four)])
+    kept = c.drop_near_duplicates(spark, docs, "")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", one), ("2", two), ("3", three), ("5", four), ("None", four)])
+    assert kept.schema.names == docs.schema.names
