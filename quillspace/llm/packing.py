@@ -2,7 +2,8 @@
 
 A piece goes where the squared counts of open bins per residual gap become smallest. That rule looks
 only at lengths and at counts of open bins, so it is run over the histogram of lengths, a step for
-each run of like choices; bins that a step fills alike are an interval of sequence numbers. The plan's
+each run of like choices, but for at least 1/STEPS of a batch; so of large batches some pieces go on to
+a gap after the exact rule would leave it. A thrifty plan is kept where it needs fewer sequences. Bins that a step fills alike are an interval of sequence numbers. The plan's
 size is bounded by the capacity and the steps, not by the corpus. Pieces then take their places by
 their number within their length.
 """
