@@ -148,7 +148,7 @@ TABLES: dict[tuple[str, ...], Callable[[DataFrame], DataFrame]] = {
 
 
 def canonical_table(df: DataFrame) -> DataFrame:
-    """conv_id, turns by the fingerprint of df's schema; columns that no mapping names are passed over.
+    """conv_id, turns by the field paths of df's schema; columns that no mapping names are passed over.
 
     The mapping with the most paths that df has is taken. A schema without one is an error.
     """
