@@ -116,11 +116,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32; ids of whole texts, each with end_id."""
 
     def encode(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+        of = encoder(tokenizer)
         for batch in got:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.encode(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), of.encode(batch.column(1), end_id), strict=True):
                 out += [(doc_id, k, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(cut(len(ids) // 4, capacity))]
             columns = list(zip(*out, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

@@ -12,18 +12,19 @@ any document readable without its predecessors. All integers are little-endian:
             u16 position per exception, u32 high bits per exception
 
 Segments are written by Spark's own file writer, so any store it writes to will do and a task that
-runs twice leaves one file. It ends each segment with a zero byte, which readers skip.
+runs twice leaves its files once. It ends each segment with a zero byte, which readers skip. A file
+has FILE_SEGMENTS segments at most, so reading one takes bounded memory.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_path, shuffle_parts, table, text_or_empty
@@ -33,7 +34,9 @@ BLOCK = 512
 #: The share of a block's differences that its bit width must hold.
 PERCENTILE = 0.9
 #: Ids gathered before a segment is closed; bounds a task's memory whatever a partition holds.
-SEGMENT_IDS = 1_000_000
+SEGMENT_IDS = 250_000
+#: Segments in a file, about 16 MB; a partition of the sorted documents may be several files.
+FILE_SEGMENTS = 32
 _HEAD, _BLOCK = struct.Struct("<4sIIQQ"), struct.Struct("<IBHH")
 
 
@@ -114,7 +117,7 @@ def segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     return _HEAD.pack(b"PFR1", len(ids), len(starts), len(flat), _HEAD.size + len(keys) + len(blocks)) + keys + blocks
 
 
-def read_segments(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+def read_segments(content: bytes | memoryview) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """doc_ids, ids of each document, and all ids of each segment in a file."""
     at = 0
     while at < len(content):
@@ -141,13 +144,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, doc_ids, ids, held = encoder(tokenizer), [], [], 0
-        end = end_id.to_bytes(4, "little")
+        of, doc_ids, ids, held = encoder(tokenizer), [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, own in zip(batch.column(0).to_pylist(), of.encode(batch.column(1), end_id), strict=True):
                 doc_ids.append(doc_id)
-                ids.append(words.encode(text.as_py()) + end)
-                held += len(ids[-1]) // 4
+                ids.append(own)
+                held += len(own) // 4
                 if held >= SEGMENT_IDS:
                     yield pa.record_batch([pa.array([segment(doc_ids, ids)], pa.binary())], ["payload"])
                     doc_ids, ids, held = [], [], 0
@@ -158,30 +160,38 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     parts = shuffle_parts(docs.sparkSession)
     ordered = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     packed = ordered.mapInArrow(encode, "payload binary")
-    packed.select(F.col("payload").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    packed.select(F.col("payload").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """file, nth (place of the document in its file), doc_id, start (ids before it in its file), ids (binary, u32)."""
+def _read(spark: SparkSession, path: str, out: pa.Field, of: Callable[[list[memoryview]], Sequence]) -> DataFrame:
+    """part and file (which file), nth (place of the document in it), doc_id, start (ids before it in the file), n_tokens, and out: of() each document's ids.
+
+    Each file is read by itself and in order, a segment at a time.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0), batch.column(1), strict=True):
+            for part, file, content in zip(*batch.columns, strict=True):
                 before = nth = 0
-                for doc_ids, counts, flat in read_segments(content.as_py()):
+                for doc_ids, counts, flat in read_segments(memoryview(content.as_buffer())):
                     ends = np.cumsum(counts, dtype=np.int64)
-                    starts = ends - counts
-                    raw = flat.astype("<u4").tobytes()
-                    n = len(doc_ids)
-                    yield pa.record_batch(
-                        [pa.array([file.as_py()] * n, pa.int32()), pa.array(np.arange(nth, nth + n)), pa.array(doc_ids, pa.int64()), pa.array(before + starts), pa.array([raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], pa.binary())],
-                        ["file", "nth", "doc_id", "start", "ids"],
-                    )
+                    starts, n = ends - counts, len(doc_ids)
+                    raw = memoryview(flat.astype("<u4", copy=False)).cast("B")
+                    got = of([raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+                    columns = [pa.array([x.as_py()] * n, pa.int32()) for x in (part, file)]
+                    columns += [pa.array(np.arange(nth, nth + n)), pa.array(doc_ids, pa.int64()), pa.array(before + starts), pa.array(counts.astype(np.int64)), pa.array(got, out.type)]
+                    yield pa.record_batch(columns, ["part", "file", "nth", "doc_id", "start", "n_tokens", out.name])
                     before, nth = before + len(flat), nth + n
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    number = F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("int").alias("file")
-    return files.select(number, "content").mapInArrow(decode, "file int, nth long, doc_id long, start long, ids binary")
+    numbers = [F.regexp_extract("path", r"/part-(\d+)[^/]*-c(\d+)[^/]*$", k).cast("int").alias(x) for k, x in ((1, "part"), (2, "file"))]
+    kind = "binary" if out.type == pa.binary() else "long"
+    return files.select(*numbers, "content").mapInArrow(decode, f"part int, file int, nth long, doc_id long, start long, n_tokens long, {out.name} {kind}")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of all files with their ids (binary, u32); see _read()."""
+    return _read(spark, path, pa.field("ids", pa.binary()), lambda ids: [bytes(x) for x in ids])
 
 
 def token_table(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -189,18 +199,15 @@ def token_table(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     path = shared_path(spark, "tokens")
     write_tokens(docs, path, tokenizer or default_path())
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [x.as_py() for x in b.column(4)]
-            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["file", "doc_id", "start", "n_tokens", "ids_crc32"])
-
-    read = materialize(read_tokens(spark, path).mapInArrow(digest, "file int, doc_id long, start long, n_tokens long, ids_crc32 long"), "token-index")
-    # a row for each file, as few as Spark's own list of the files
-    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    totals = read.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    return read.join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    read = materialize(_read(spark, path, pa.field("ids_crc32", pa.int64()), lambda ids: [zlib.crc32(x) for x in ids]), "token-index")
+    files = read.groupBy("part", "file").agg(F.sum("n_tokens").alias("_n"))
+    within = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("part", "file", F.coalesce(F.sum("_n").over(within), F.lit(0)).alias("_within"), "_n")
+    # a row for each partition that was written
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("_n").alias("_n")).select("part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    starts = files.join(parts, "part").select("part", "file", (F.col("_before") + F.col("_within")).alias("_before"))
+    return read.join(starts, ["part", "file"]).select("doc_id", (F.col("_before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:

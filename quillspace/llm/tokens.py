@@ -1,19 +1,37 @@
-"""Token ids of whole texts by a byte-level BPE file of the tokenizers library, with a word cache.
+"""Token ids of whole texts by a byte-level BPE file of the tokenizers library, a batch of texts at a time.
 
-The file's pre-tokenizer never joins a character that is no white space to white space after it, so
-a text can be cut before each such white space and each piece encoded by itself. Pieces repeat, so
-their ids are kept; a piece that is not in the cache is encoded by the library's own model.
+The file's pre-tokenizer never joins a character that is no white space to white space after it, so a
+text can be cut before each such white space and each piece encoded by itself. Pieces repeat: those of
+a batch are found by one dictionary encoding, each distinct one is encoded once by the library's own
+model, and all ids are gathered from those. Texts that hold one of the file's added tokens go to the
+library itself, which gives them ids of their own.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces kept by one Python worker (about 120 MB); beyond it a piece that is not kept is encoded again.
-CACHE_PIECES = 600_000
+#: Bytes of words and their ids kept by one Python worker, in two halves: a full one is kept, the one before it dropped.
+CACHE_BYTES = 100_000_000
+#: Bytes of texts whose pieces are held at a time; a longer text is taken by itself.
+SLICE_BYTES = 3_000_000
+#: Characters that the library encodes at a time.
+WHOLE_CHARS = 100_000
+_SPACE = np.isin(np.arange(256), [10, 32])
+#: After these no cut is made, as they are white space to the pre-tokenizer.
+_NO_CUT = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+_LETTER = np.array([chr(c).isalpha() for c in range(128)] + [False] * 128)
+#: After a letter these begin a token of their own; an apostrophe may not.
+_SIGN = np.array([33 <= c < 127 and not chr(c).isalnum() and c != 39 for c in range(256)])
 
 
 def default_path() -> str:
@@ -22,11 +40,6 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-#: Only these two count as white space to cut at; a text with any other goes to the library whole.
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]").search
-
-
 def _byte_letters() -> dict[int, int]:
     """Byte to the code point that stands for it in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -34,69 +47,119 @@ def _byte_letters() -> dict[int, int]:
     return dict(zip(plain, plain, strict=True)) | {b: 256 + k for k, b in enumerate(rest)}
 
 
-class _Cut(Exception):  # noqa: N818
-    """A piece begins or ends in white space, so cutting at single spaces is not safe."""
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Where in UTF-8 bytes a piece may begin: at a space or newline after what is surely no white space."""
+    at = np.flatnonzero(_SPACE[raw[1:]] & ~_NO_CUT[raw[:-1]]) + 1
+    one, two, three = raw[at - 1], raw[np.maximum(at - 2, 0)], raw[np.maximum(at - 3, 0)]
+    # white space and the like of two and three bytes, by their first bytes
+    other = ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((three == 0xE1) & ((two == 0x9A) | (two == 0xA0))) | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80)) | ((three == 0xEF) & (two == 0xBB))
+    return at[~other]
 
 
-class PieceEncoder(dict):
-    """text -> its ids as little-endian unsigned 32-bit integers, without the end id."""
+class Encoder:
+    """Texts -> their ids, without an end id, as the library's encode(text, add_special_tokens=False) gives them."""
 
     def __init__(self, path: str):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
         self.space = chr(self.letters[32])
-        self.packed = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
-        self.marks = {c: self._model(c) for c in ".,;:!?|)"}
+        added = self.whole.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        #: Whether a text with an added token may be cut at white space.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def _model(self, word: str) -> bytes:
         plain = word.isascii() and word.isprintable()
         name = word.replace(" ", self.space) if plain else word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([self.packed[t.id] for t in self.model.tokenize(name)])
-
-    def __missing__(self, piece: str) -> bytes:
-        """piece: what follows a space up to the next, or a newline and what follows it."""
-        if not piece or piece[-1].isspace() or piece[-1] == "\u180e":
-            raise _Cut
-        if piece.isalpha():
-            got = self._model(f" {piece}")
-        elif piece[-1] in self.marks and piece[:-1].isalpha():
-            got = self[piece[:-1]] + self.marks[piece[-1]]
-        else:
-            got = self._ids(piece if piece[0] == "\n" else f" {piece}")
-        if len(self) < CACHE_PIECES and len(piece) < 64:
-            self[piece] = got
+        return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        got = self.older.get(text)
+        if got is None:
+            words = [text] if text.isalpha() or text[1:].isalpha() and text[0] == " " else self.split(text)
+            got = b"".join([self._model(w) for w in words])
+        self.kept[text] = got
+        self.held += 200 + len(text) + len(got)
+        if 2 * self.held > CACHE_BYTES:
+            self.older, self.kept, self.held = self.kept, {}, 0
         return got
 
-    def _ids(self, piece: str) -> bytes:
-        words = self.split(piece)
-        return b"".join([self[w[1:]] if w[0] == " " and w[1:].isalpha() else self._model(w) for w in words])
-
-    def encode(self, text: str) -> bytes:
-        first, *rest = text.replace("\n", " \n").split(" ")
-        try:
-            if first and rest and (first[-1].isspace() or first[-1] == "\u180e"):
-                raise _Cut
-            return self._ids(first) + b"".join(map(self.__getitem__, rest))
-        except _Cut:
-            pass
-        if _OTHER_SPACE(text):
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-            return b"".join([i.to_bytes(4, "little") for i in ids])
-        return b"".join(map(self._ids, _PIECES(text)))
+    def _pieces(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts' bytes on end, and the length of each -> all ids, and how many each text has."""
+        ends = np.cumsum(lengths)
+        begins = np.zeros(len(raw), bool)
+        begins[1:] = _SIGN[raw[1:]] & _LETTER[raw[:-1]]
+        begins[cuts(raw)] = True
+        begins[(ends - lengths)[lengths > 0]] = True
+        starts = np.flatnonzero(begins)
+        offsets = np.append(starts, len(raw)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        known = []
+        for x in pieces.dictionary.to_pylist():
+            got = self.kept.get(x)
+            known.append(self.piece(x) if got is None else got)
+        table = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.array([len(x) // 4 for x in known], np.int64)
+        index = pieces.indices.to_numpy()
+        counts = sizes[index]
+        after = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+        places = np.repeat((np.cumsum(sizes) - sizes)[index] - after[:-1], counts) + np.arange(after[-1])
+        of = np.searchsorted(starts, np.concatenate([np.zeros(1, np.int64), ends]))
+        return table[places], np.diff(after[of])
+
+    def _library(self, text: str) -> np.ndarray:
+        if not self.plain or len(text) <= WHOLE_CHARS:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        at = cuts(raw)
+        wanted = np.searchsorted(at, np.arange(WHOLE_CHARS, len(raw), WHOLE_CHARS))
+        edges = np.unique(np.concatenate([[0], at[wanted[wanted < len(at)]], [len(raw)]])).tolist()
+        return np.concatenate([np.array(self.whole.encode(raw[a:b].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for a, b in zip(edges, edges[1:], strict=False)])
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Consecutive texts (no nulls), about SLICE_BYTES at a time: their ids on end, and how many each has."""
+        sizes = pc.binary_length(texts).to_numpy()
+        low = 0
+        while low < len(texts):
+            high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), SLICE_BYTES, side="right")))
+            some, lengths = texts[low:high], sizes[low:high].astype(np.int64)
+            special = np.zeros(len(some), bool)
+            for content in self.added:
+                special |= pc.match_substring(some, content).to_numpy(zero_copy_only=False)
+            plain = some.filter(pa.array(~special)) if special.any() else some
+            raw = np.frombuffer(b"".join([x.as_buffer() for x in plain.cast(pa.binary())]), np.uint8)
+            ids, counts = self._pieces(raw, np.where(special, 0, lengths)) if len(raw) else (np.zeros(0, np.uint32), np.zeros(len(some), np.int64))
+            if special.any():
+                parts = np.split(ids, np.cumsum(counts)[:-1])
+                for k in np.flatnonzero(special).tolist():
+                    parts[k] = self._library(some[k].as_py())
+                ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+            yield ids, counts
+            low = high
+
+    def encode(self, texts: Sequence[str] | pa.Array, end_id: int) -> Iterator[bytes]:
+        """Of each text its ids and end_id as little-endian unsigned 32-bit integers."""
+        end = end_id.to_bytes(4, "little")
+        for ids, counts in self.batches(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())):
+            raw, at = ids.astype("<u4", copy=False).tobytes(), 0
+            for n in counts.tolist():
+                yield raw[at : at + 4 * n] + end
+                at += 4 * n
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    """One for each Python worker, kept over its tasks."""
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, kept over its tasks; what it keeps is bounded by CACHE_BYTES."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return PieceEncoder(path)
+    return Encoder(path)

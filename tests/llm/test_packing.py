@@ -3,7 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 from quillspace.llm import packing as p
-from quillspace.llm.tokens import default_path, encoder
+from quillspace.llm.tokens import default_path
+from tokenizers import Tokenizer
 
 
 def test_cut():
@@ -40,7 +41,7 @@ def test_plan_places_every_piece_once_and_tightly():
 def test_pieces_match_whole_tokenization(odd, make):
     for docs in (odd, make([])):
         got = p.pack(docs).collect()
-        whole = encoder(default_path()).whole
+        whole = Tokenizer.from_file(default_path())
         want = []
         for r in docs.select("doc_id", "text").collect():
             ids = np.array([*whole.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
