@@ -4,11 +4,14 @@ Every window of `window` bytes has an anchor: the place of its smallest hash of
 windows have equal anchors, so only windows around equal anchor strings need comparing. Windows that
 share an anchor make a segment of at most 2 * window - ANCHOR bytes.
 
-1. Segments are dealt by anchor. Where two are equal byte for byte, all windows of the later one are
-   repeats. Only where different segments share an anchor are their bytes needed.
+1. Segments are dealt by anchor. Where two are equal by two 64-bit hashes (of the anchor string and of
+   the segment), all windows of the later one are repeats. Only where different segments share an anchor
+   are their bytes needed.
 2. Those bytes are fetched, dealt by anchor again, and put in suffix order by induced sorting, a shard
    of whole anchor groups at a time. Neighbours with a common prefix of `window` bytes are equal
-   windows; all but the earliest are repeats.
+   windows; all but the earliest are repeats. An anchor with over GROUP different segments, as at the
+   ends of a very common passage, would be one task's work; its windows are dealt one by one instead, by
+   128 bits of hash, after those that are equal within a batch are reduced to the earliest.
 3. Each document's repeats are cut out.
 """
 
@@ -22,8 +25,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.shared import numbered
 from .common import materialize, shuffle_parts, table, text_or_empty
 from .sais import common_prefixes, suffix_array
 
@@ -32,8 +35,14 @@ WINDOW = 100
 ANCHOR = 40
 #: Bytes of documents whose segments are made at a time.
 CHUNK = 2_000_000
-#: Bytes of anchor groups sorted at a time; a larger group is sorted whole.
+#: Bytes of anchor groups sorted at a time; at most GROUP segments are in one group.
 SHARD = 500_000
+#: Different segments of an anchor that are sorted together; those of larger groups are compared window by window.
+GROUP = 256
+#: Bytes of text for each partition that segments are dealt to, at most.
+PART_BYTES = 64_000_000
+#: Windows in a span at most, as its length has 16 bits.
+RUN = 60_000
 _BASE = 0x9E3779B97F4A7C15
 
 #: anchor: hash of the anchor string; body: hash of the segment; no: document; at: the anchor's place;
@@ -41,6 +50,8 @@ _BASE = 0x9E3779B97F4A7C15
 SEGMENT = np.dtype([("anchor", "<u8"), ("body", "<u8"), ("no", "<i8"), ("at", "<u4"), ("left", "u1"), ("more", "u1")])
 _NARROW = np.dtype([("anchor", "<u8"), ("body", "<u8"), ("nth", "<u4"), ("at", "<u4"), ("left", "u1"), ("more", "u1")])
 _POWERS: list[np.ndarray] = []
+#: Columns beside those of documents, which may have any names.
+NO, SPANS = "_suffix_dedup_no", "_suffix_dedup_spans"
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,14 +145,30 @@ def repeated_windows(parts: list[bytes], starts: np.ndarray, nos: np.ndarray, wi
     order = np.lexsort((at, no, group))
     no, at, group = no[order], at[order], group[order]
     first = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
-    order = np.lexsort((at[~first], no[~first]))
-    no, at = no[~first][order], at[~first][order]
-    # runs of windows become spans, of under 2^16 bytes each
-    new = np.flatnonzero(np.concatenate([[True], (no[1:] != no[:-1]) | (at[1:] != at[:-1] + 1)])) if len(no) else np.zeros(0, np.int64)
-    lasts = np.append(new[1:], len(no))[: len(new)] - 1
+    return runs(no[~first], at[~first], window)
+
+
+def runs(no: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows in documents -> no and packed spans, each of under 2^16 bytes."""
+    order = np.lexsort((at, no))
+    no, at = no[order], at[order]
+    if not len(no):
+        return no, at
+    new = np.concatenate([[True], (no[1:] != no[:-1]) | (at[1:] != at[:-1] + 1)])
+    since = at - at[new][np.cumsum(new) - 1]
+    new = np.flatnonzero(new | (since % RUN == 0))
+    lasts = np.append(new[1:], len(no)) - 1
     return no[new], at[new] << 16 | (at[lasts] - at[new] + window)
 
 
+def earliest(high: np.ndarray, low: np.ndarray, no: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows with two hashes each -> an order that puts equal ones together, by document and place; which of it are not the first of theirs."""
+    order = np.lexsort((at, no, low, high))
+    same = np.zeros(len(order), bool)
+    same[1:] = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+    return order, same
+
+
 def spans_of(packed: np.ndarray) -> list[tuple[int, int]]:
     """Packed spans -> sorted maximal (start, end)."""
     out: list[list[int]] = []
@@ -162,9 +189,9 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _deal(found: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Segments by anchor as (part, bytes): numbers of documents once, then records."""
-    part = (found["anchor"] % np.uint64(parts)).astype(np.int64)
+def _deal(found: np.ndarray, parts: int, spread: bool = False) -> Iterator[tuple[int, bytes]]:
+    """Segments by anchor as (part, bytes): numbers of documents once, then records. spread: by document, as it may be any part."""
+    part = ((found["no"].view(np.uint64) if spread else found["anchor"]) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     ends = np.searchsorted(part[order], np.arange(parts + 1))
     for k in np.flatnonzero(np.diff(ends)).tolist():
@@ -190,25 +217,24 @@ def _dealt(raw: bytes) -> np.ndarray:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with _no, which is doc_id where that is a key; else the place in the order of doc_id (nulls first) and text."""
+    """docs with NO, which is doc_id where that is a key; else the place in the order of doc_id (nulls first) and text."""
     ids = docs.select("doc_id")
     odd = ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return docs.withColumn("_no", F.col("doc_id").cast("long"))
-    ordered = docs.orderBy("doc_id", "text")
-    schema = T.StructType([*ordered.schema, T.StructField("_no", T.LongType())])
-    return materialize(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema), "suffix-docs")
+        return docs.withColumn(NO, F.col("doc_id").cast("long"))
+    return numbered(docs, [F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")], NO)
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs(no, text binary), no unique -> no, spans: array<long> of start << 16 | length, in no order, maybe overlapping."""
     spark = docs.sparkSession
-    parts = shuffle_parts(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_parts(spark), -(-size // PART_BYTES))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(texts: list[bytes], nos: list[int]) -> pa.RecordBatch:
             same, rest = repeats(segments(texts, np.array(nos, np.int64), window))
-            rows = [(k, 0, x) for k, x in _deal(rest, parts)] + [(k, 1, x) for k, x in _deal(same, parts)]
+            rows = [(k, 0, x) for k, x in _deal(rest, parts)] + [(k, 1, x) for k, x in _deal(same, parts, spread=True)]
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int8()), pa.array([r[2] for r in rows], pa.binary())], ["part", "same", "payload"])
 
         texts, nos, held = [], [], 0
@@ -241,28 +267,58 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         mixed[1:] = first["anchor"][1:] == first["anchor"][:-1]
         mixed[:-1] |= mixed[1:]
         ask = first[mixed]
-        for some in gone:
+        _, group, counts = np.unique(ask["anchor"], return_inverse=True, return_counts=True)
+        single = (counts > GROUP)[group]
+        for some, kind in [*((x, 0) for x in gone), (ask[~single], 1), (ask[single], 2)]:
             no, packed = _cut_spans(some, window)
-            yield pa.record_batch([pa.array(no), pa.array(packed), pa.array(np.zeros(len(no), np.int64)), pa.array(np.zeros(len(no), bool))], ["no", "span", "anchor", "ask"])
-        no, packed = _cut_spans(ask, window)
-        yield pa.record_batch([pa.array(no), pa.array(packed), pa.array(ask["anchor"].view(np.int64)), pa.array(np.ones(len(no), bool))], ["no", "span", "anchor", "ask"])
+            yield pa.record_batch([pa.array(no), pa.array(packed), pa.array(np.ascontiguousarray(some["anchor"]).view(np.int64)), pa.array(np.full(len(no), kind, np.int8))], ["no", "span", "anchor", "ask"])
 
     sent = docs.select("no", "text").mapInArrow(scan, "part int, same byte, payload binary")
-    matched = materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(match, "no long, span long, anchor long, ask boolean"), "suffix-matches")
+    matched = materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(match, "no long, span long, anchor long, ask byte"), "suffix-matches")
+
+    kinds = [("part", pa.int32()), ("anchor", pa.int64()), ("no", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        of = xxhash.xxh3_128_digest
         for b in batches:
-            rows = []
-            for no, text, spans, anchors in zip(*b.columns, strict=True):
+            rows, single, hashes, empty = [], [], [], []
+            for no, text, asked in zip(*b.columns, strict=True):
                 raw, no = text.as_py(), no.as_py()
-                for span, anchor in zip(spans.as_py(), anchors.as_py(), strict=True):
-                    a = span >> 16
-                    rows.append(((anchor & (1 << 64) - 1) % parts, anchor, no, a, raw[a : a + (span & 0xFFFF)]))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "anchor", "no", "start", "bytes"])
+                for span, anchor, ask in ((x["span"], x["anchor"], x["ask"]) for x in asked.as_py()):
+                    a, n = span >> 16, span & 0xFFFF
+                    if ask == 1:
+                        rows.append(((anchor & (1 << 64) - 1) % parts, anchor, no, a, raw[a : a + n]))
+                    else:
+                        single += [(no, p) for p in range(a, a + n - window + 1)]
+                        hashes += [of(raw[p : p + window]) for p in range(a, a + n - window + 1)]
+            if single:
+                places = np.array(single, np.int64)
+                high, low = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2).T
+                order, same = earliest(high, low, places[:, 0], places[:, 1])
+                empty = [(no % parts, None, no, span, None) for no, span in zip(*(x.tolist() for x in runs(*places[order[same]].T, window)), strict=True)]
+                first = order[~same]
+                part = high[first] % np.uint64(parts)
+                for k in np.unique(part).tolist():
+                    own = first[part == k]
+                    # hashes, documents and places of windows
+                    columns = (high[own], low[own], places[own, 0], places[own, 1])
+                    rows.append((k, None, None, None, b"".join(np.ascontiguousarray(x).tobytes() for x in columns)))
+            columns = list(zip(*(rows + empty), strict=True)) or [()] * 5
+            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), schema=pa.schema([("part", pa.int32()), ("anchor", pa.int64()), ("no", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())]))
+        rows = pa.Table.from_batches(list(batches), schema=pa.schema(kinds))
+        known = rows.filter(pa.compute.is_null(rows.column("bytes")))
+        yield pa.record_batch([known.column(x).combine_chunks() for x in ("no", "start")], ["no", "span"])
+        single = rows.filter(pa.compute.and_(pa.compute.is_null(rows.column("no")), pa.compute.is_valid(rows.column("bytes")))).column("bytes")
+        if len(single):
+            high, low, no, at = np.concatenate([np.frombuffer(x.as_py(), "<i8").reshape(4, -1) for x in single], axis=1)
+            order, same = earliest(high, low, no, at)
+            found, packed = runs(no[order[same]], at[order[same]], window)
+            yield pa.record_batch([pa.array(found), pa.array(packed)], ["no", "span"])
+        rows = rows.filter(pa.compute.is_valid(rows.column("anchor")))
         rows = rows.take(pa.array(np.lexsort((rows.column("start").to_numpy(), rows.column("no").to_numpy(), rows.column("anchor").to_numpy()))))
         anchor, no, start = (rows.column(x).to_numpy() for x in ("anchor", "no", "start"))
         sizes = np.cumsum(pa.compute.binary_length(rows.column("bytes")).to_numpy()) if len(rows) else np.zeros(0, np.int64)
@@ -274,22 +330,22 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.record_batch([pa.array(found), pa.array(packed)], ["no", "span"])
                 low = high
 
-    asked = matched.where("ask").groupBy("no").agg(F.collect_list("span").alias("spans"), F.collect_list("anchor").alias("anchors"))
-    bytes_of = docs.select("no", "text").join(asked, "no").select("no", "text", "spans", "anchors").mapInArrow(fetch, "part int, anchor long, no long, start long, bytes binary")
+    asked = matched.where("ask > 0").groupBy("no").agg(F.collect_list(F.struct("span", "anchor", "ask")).alias("asked"))
+    bytes_of = docs.select("no", "text").join(asked, "no").select("no", "text", "asked").mapInArrow(fetch, "part int, anchor long, no long, start long, bytes binary")
     windows = bytes_of.repartitionById(parts, F.col("part")).mapInArrow(sort, "no long, span long")
-    return matched.where("not ask").select("no", "span").unionByName(windows).groupBy("no").agg(F.collect_list("span").alias("spans"))
+    return matched.where("ask = 0").select("no", "span").unionByName(windows).groupBy("no").agg(F.collect_list("span").alias("spans"))
 
 
 def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs(doc_id, text, ...) with _spans (see removals(); null: nothing to remove) added.
+    """docs(doc_id, text, ...) with SPANS (see removals(); null: nothing to remove) added.
 
     A null text is an empty one. Documents are in the order of doc_id, nulls first; rows with equal or
-    null doc_id are documents of their own, ordered by text. Equal windows are found by their bytes;
-    segments are told apart by 128 bits of two hashes.
+    null doc_id are documents of their own, ordered by text. Windows are equal by their bytes in the suffix
+    order, by 128 bits of hash where whole segments are equal or a group is large.
     """
-    numbered = _numbered(docs)
-    spans = removals(numbered.select(F.col("_no").alias("no"), text_or_empty().cast("binary").alias("text")), window)
-    return numbered.join(spans.select(F.col("no").alias("_no"), F.col("spans").alias("_spans")), "_no", "left").drop("_no")
+    keyed = _numbered(docs)
+    spans = removals(keyed.select(F.col(NO).alias("no"), text_or_empty().cast("binary").alias("text")), window)
+    return keyed.join(spans.select(F.col("no").alias(NO), F.col("spans").alias(SPANS)), NO, "left").drop(NO)
 
 
 def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -320,7 +376,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if name == "text" else b.column(k) for k, name in enumerate(names)]
             yield pa.record_batch(columns, names)
 
-    return marked(docs, window).select(*names, "_spans").mapInArrow(trim, docs.schema)
+    return marked(docs, window).select(*names, SPANS).mapInArrow(trim, docs.schema)
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -337,7 +393,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = marked(docs.select("doc_id", "text"), window)
-    return found.select("doc_id", text_or_empty().cast("binary").alias("text"), "_spans").mapInArrow(measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", text_or_empty().cast("binary").alias("text"), SPANS).mapInArrow(measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

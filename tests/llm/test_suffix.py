@@ -34,6 +34,7 @@ def test_common_prefixes():
 
 
 def brute(rows, window=100):
+    """Row by row; windows are kept as they are."""
     seen, out = set(), []
     for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
         raw = (text or "").encode()
@@ -60,11 +61,27 @@ def test_against_brute_force(make, monkeypatch):
     check(make(rows))
     monkeypatch.setattr(s, "SHARD", 1000)
     monkeypatch.setattr(s, "CHUNK", 3000)
+    monkeypatch.setattr(s, "GROUP", 3)
+    monkeypatch.setattr(s, "RUN", 50)
     check(make([*rows, (90, None), (91, "ab" * 700), (92, "z" * 1500), (93, "z" * 99), (94, "z" * 100)]))
 
 
 def test_odd_rows_and_cutting(odd, make):
-    check(odd.where("doc_id is null or doc_id not in (8, 9)"))
+    check(odd)
+
+
+def test_common_passage_window_by_window(make, monkeypatch):
+    r = random.Random(7)
+    common = "".join(r.choices("abcdefgh ", k=230))
+    own = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    rows = [(i, own(r.randint(0, 80)) + common[r.choice([0, 0, 0, 9]) : r.choice([230, 230, 215])] + own(r.randint(0, 80))) for i in range(150)]
+    want = brute(rows)
+    for group in (2, 40, 10_000):
+        monkeypatch.setattr(s, "GROUP", group)
+        assert sorted((str(r[0]), *r[1:]) for r in s.suffix_dedup(make(rows)).collect()) == want
+
+
+def test_empty_tables_and_characters(make):
     assert s.suffix_dedup(make([])).count() == 0
     base = "é" * 3 + "".join(random.Random(1).choices("abcdefgh ", k=160))
     docs = make([(1, base), (2, "x" + base + "ü"), (3, None), (4, "")])
