@@ -16,16 +16,31 @@ def heap_lpt(sizes, shards):
 def test_schedule_gives_what_a_heap_gives():
     r = random.Random(0)
     for _ in range(30):
-        sizes = [r.choice([1, 2, 3, 5, 8, 50, 51, 400]) for _ in range(r.randint(1, 800))]
+        sizes = [r.choice([1, 2, 3, 5, 8, 50, 51, 400, 9000, 9001, 123_456]) + r.randint(0, 1) * r.randint(0, 300_000) for _ in range(r.randint(1, 800))]
         counts = {x: sizes.count(x) for x in set(sizes)}
-        plan = s.schedule([(k, n, k * n) for k, n in counts.items()], 7)
         loads = [0] * 7
-        for k, ends in plan:
-            assert ends[-1] == counts[k]
+        for size, n, ends in s.schedule(sorted(counts.items(), reverse=True), 7):
+            assert ends[-1] == counts[size] == n
             for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
-                loads[i] += k * (b - a)
-        want = heap_lpt(sizes, 7)
-        assert max(loads) - min(loads) == want[-1] - want[0] or max(loads) <= want[-1]
+                loads[i] += size * (b - a)
+        assert sorted(loads) == heap_lpt(sizes, 7)
+
+
+def test_large_groups_by_their_true_sizes(make, monkeypatch):
+    r = random.Random(1)
+    rows = [(i, f"{i} " + "y" * r.choice([10, 8_200, 20_000 + i, 20_000, 40_000])) for i in range(200)]
+    rows += [(1000 + i, rows[0][1]) for i in range(300)]
+    groups = {}
+    for _, t in rows:
+        groups[t] = groups.get(t, 0) + len(t) + 1
+    want = heap_lpt(groups.values(), 16)
+    for block, broadcast in ((1000, 1000), (7, 0)):
+        monkeypatch.setattr(s, "BLOCK", block)
+        monkeypatch.setattr(s, "BROADCAST", broadcast)
+        loads = [0] * 16
+        for row in s.shard(make(rows)).collect():
+            loads[row["shard"]] += row["size"]
+        assert sorted(loads) == want
 
 
 def test_shards_are_whole_and_even(odd, make):
