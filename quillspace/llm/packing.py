@@ -80,17 +80,24 @@ def _plan(histogram: dict[int, int], capacity: int, small: int, thrifty: bool =
             left = capacity - length
             fresh = 2 * count[left] + 1 if left else 0
             at = int(np.argmin(change)) if len(gaps) else -1
+
+            def opens(after: int, length: int = length) -> list[int]:
+                """The change for the gap that a piece leaves, which may be a rival once it is open."""
+                if after < length:
+                    return []
+                return [1 - 2 * int(count[after]) + (2 * int(count[after - length]) + 1 if after > length else 0)]
+
             if at >= 0 and (thrifty or change[at] <= fresh):
                 gap = int(gaps[at])
-                others = np.delete(change, at)
-                rival = int(others.min()) if len(others) else 4 * todo + int(change[at])
+                rival = min([*np.delete(change, at).tolist(), *opens(gap - length), 8 * todo + int(change[at])])
                 slack = (rival if thrifty else min(rival, fresh)) - int(change[at])
+                # a piece takes 8 of the slack at most: 4 of its own, 2 where a rival's gap grows, 2 where its rest shrinks
                 n = min(todo, int(count[gap]), max(slack // 4 + 1, -(-batch // STEPS)))
             else:
                 gap = capacity
-                slack = (int(change.min()) if len(gaps) else 4 * todo) - fresh
+                slack = min([*change.tolist(), *opens(left), 4 * todo + fresh]) - fresh
                 # of like pieces, capacity // length share a bin
-                n = -(-todo // (capacity // length)) if thrifty else int(min(todo, max(slack // 2 + 1, -(-batch // STEPS))))
+                n = -(-todo // (capacity // length)) if thrifty else int(min(todo, max((slack - 1) // 4 + 1, -(-batch // STEPS), 1)))
                 bins[gap].append([opened, n])
                 opened += n
             if gap < capacity:

@@ -38,6 +38,44 @@ def test_plan_places_every_piece_once_and_tightly():
     assert p.plan({}) == ([], 0)
 
 
+def brute_rule(histogram, capacity, small):
+    """Piece by piece: each goes where the squared counts of open bins per gap become smallest, ties to the smallest gap, an open bin first."""
+    count, opened = [0] * (capacity + 1), 0
+    for length, n in p.batches(histogram, small):
+        for _ in range(n):
+            best, gap = None, capacity
+            for g in range(length, capacity + 1):
+                if count[g]:
+                    after = g - length
+                    change = 1 - 2 * count[g] + (2 * count[after] + 1 if after else 0)
+                    if best is None or change < best:
+                        best, gap = change, g
+            left = capacity - length
+            if best is None or best > (2 * count[left] + 1 if left else 0):
+                opened, gap = opened + 1, capacity
+            else:
+                count[gap] -= 1
+            if gap > length:
+                count[gap - length] += 1
+    return opened, count
+
+
+def test_plan_against_the_rule_piece_by_piece(monkeypatch):
+    r = np.random.default_rng(3)
+    exact, eighths = [], []
+    for seed in range(4):
+        capacity = 64
+        lengths = r.integers(1, capacity + 1, 500) if seed % 2 else np.minimum(capacity, r.lognormal(2.2, 0.9, 700).astype(int) + 1)
+        histogram = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+        want, _ = brute_rule(histogram, capacity, int(capacity * 0.4))
+        monkeypatch.setattr(p, "STEPS", 10**9)
+        exact.append((p._plan(histogram, capacity, int(capacity * 0.4))[1], want))
+        monkeypatch.setattr(p, "STEPS", 8)
+        eighths.append((p.plan(histogram, capacity)[1], want))
+    assert all(a == b for a, b in exact), exact
+    assert all(a <= b + 1 for a, b in eighths), eighths
+
+
 def test_pieces_match_whole_tokenization(odd, make):
     for docs in (odd, make([])):
         got = p.pack(docs).collect()
