@@ -12,7 +12,7 @@ first backslash of each pair restores it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -138,25 +138,46 @@ def turn_rows(df: DataFrame, key: str, order: str, role: str, text: str) -> Data
     return gathered.select(key, F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
-#: Layouts of tables, by their field paths: how each becomes turns.
-TABLES: dict[tuple[str, ...], Callable[[DataFrame], DataFrame]] = {
-    ("conv_id", "role", "text", "turn"): lambda df: turn_rows(df, "conv_id", "turn", "role", "text"),
-    ("conv_id", "messages[].content", "messages[].role"): lambda df: df.select("conv_id", F.transform("messages", lambda x: canonical_turn(F.struct(x["role"].alias("role"), x["content"].alias("text")))).alias("turns")),
-    ("conv_id", "prompt", "response"): lambda df: df.select("conv_id", F.array(_turn("user", F.coalesce("prompt", F.lit(""))), _turn("assistant", F.coalesce("response", F.lit("")))).alias("turns")),
-    ("conv_id", "input", "instruction", "output"): lambda df: df.select("conv_id", F.array(_turn("user", F.concat_ws("\n\n", F.coalesce("instruction", F.lit("")), F.nullif("input", F.lit("")))), _turn("assistant", F.coalesce("output", F.lit("")))).alias("turns")),
-}
+@dataclass(frozen=True)
+class TableMapping:
+    """paths: the field paths of a table's schema, sorted; turns: the table to conv_id, turns."""
 
+    name: str
+    paths: tuple[str, ...]
+    turns: Callable[[DataFrame], DataFrame]
+
+
+TABLES = [
+    TableMapping("turn_rows", ("conv_id", "role", "text", "turn"), lambda df: turn_rows(df, "conv_id", "turn", "role", "text")),
+    TableMapping("messages", ("conv_id", "messages[].content", "messages[].role"), lambda df: df.select("conv_id", F.transform("messages", lambda x: canonical_turn(F.struct(x["role"].alias("role"), x["content"].alias("text")))).alias("turns"))),
+    TableMapping("prompt_response", ("conv_id", "prompt", "response"), lambda df: df.select("conv_id", F.array(_turn("user", F.coalesce("prompt", F.lit(""))), _turn("assistant", F.coalesce("response", F.lit("")))).alias("turns"))),
+    TableMapping("instruction_input", ("conv_id", "input", "instruction", "output"), lambda df: df.select("conv_id", F.array(_turn("user", F.concat_ws("\n\n", F.coalesce("instruction", F.lit("")), F.nullif("input", F.lit("")))), _turn("assistant", F.coalesce("output", F.lit("")))).alias("turns"))),
+]
 
-def canonical_table(df: DataFrame) -> DataFrame:
-    """conv_id, turns by the field paths of df's schema; columns that no mapping names are passed over.
 
-    The mapping with the most paths that df has is taken. A schema without one is an error.
+def table_fingerprint(paths: Iterable[str]) -> str:
+    """Of a table's field paths; the same hash as that of records."""
+    return _hash(", ".join(sorted(paths)))
+
+
+def table_mapping(kind: T.StructType) -> TableMapping:
+    """The mapping that the fingerprint of a table's field paths selects.
+
+    A table with more columns has one fingerprint for each mapping, of those of its paths that the mapping
+    names; of mappings with their own fingerprint the one with the most paths is taken. None is an error.
     """
-    have = set(schema_paths(df.schema))
-    fits = [p for p in TABLES if have >= set(p)]
+    have, known = schema_paths(kind), {table_fingerprint(m.paths): m for m in TABLES}
+    if found := known.get(table_fingerprint(have)):
+        return found
+    fits = [m for own, m in known.items() if table_fingerprint(p for p in have if p in m.paths) == own]
     if not fits:
-        raise ValueError(f"no mapping for the field paths {sorted(have)}")
-    return TABLES[max(fits, key=len)](df)
+        raise ValueError(f"no mapping for the field paths {have}")
+    return max(fits, key=lambda m: len(m.paths))
+
+
+def canonical_table(df: DataFrame) -> DataFrame:
+    """conv_id, turns by the fingerprint of df's field paths; see table_mapping(). Other columns are passed over."""
+    return table_mapping(df.schema).turns(df)
 
 
 # --- template ---

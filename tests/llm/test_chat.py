@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -51,3 +52,21 @@ def test_layouts_of_tables(spark):
     with pytest.raises(ValueError):
         c.canonical_table(spark.range(1))
     assert c.digests(c.formatted(c.canonical_table(rows.limit(0)))).count() == 0
+
+
+def test_tables_are_selected_by_hash(spark, monkeypatch):
+    kind = spark.createDataFrame([], "text string, turn long, conv_id long, role string").schema
+    assert c.table_mapping(kind).name == "turn_rows"
+    wide = spark.createDataFrame([], "prompt string, response string, conv_id long, text string, role string, turn long, extra int").schema
+    assert c.table_mapping(wide).name == "turn_rows"
+    assert c.table_fingerprint(["b", "a"]) == c.table_fingerprint(["a", "b"]) != c.table_fingerprint(["a", "c"])
+    monkeypatch.setattr(c, "table_fingerprint", lambda paths: "one")
+    assert c.table_mapping(kind).name == c.TABLES[-1].name  # nothing but the hash selects
+
+
+def test_long_conversation_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"<turn {i} \\ </turn>", 1, 2, "x") for i in range(20_000)], "conv_id long, turn long, role string, text string, _pieces int, _turns int, formatted string")
+    got = c.digests(c.formatted(c.canonical_table(rows))).first()
+    loss = "".join(f"<turn {i} \\ </turn>" for i in range(1, 20_000, 2))
+    assert got["n_turns"] == 20_000 and got["loss_chars"] == len(loss)
+    assert got["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
