@@ -4,7 +4,8 @@ Fingerprints of 64 bits link at 4 or fewer differing bits. The bits are cut in 3
 pair some block differs in at most 1. In each block a tree of vantage points splits the fingerprints
 by their Hamming distance over that block's bits: a fingerprint lives in one leaf, and by the triangle
 inequality its partners live in leaves whose distances differ by at most 1 from its own, so it is also
-sent as a query to those (the boundary-overlapping shards). Within a shard the same tree goes on
+sent as a query to those (the boundary-overlapping shards). A level of the tree sends about a third of the
+fingerprints to both sides, so copies grow by a power of about 0.4 of the distinct fingerprints. Within a shard the same tree goes on
 in memory down to small leaves, whose pairs are compared over all 64 bits. Shards return spanning
 trees of what they link, never all pairs, and whole components come from those.
 """
@@ -28,8 +29,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Bit blocks, and how many bits of some block a linked pair differs in at most.
 BLOCKS = [(0, 21), (21, 42), (42, 64)]
 BLOCK_RADIUS = RADIUS // len(BLOCKS)
-#: Fingerprints sampled for the tree over all shards. Only its balance depends on them.
-SAMPLE = 4096
+#: Fingerprints sampled for each shard of the tree over all shards. Only its balance depends on them.
+SAMPLE = 128
 #: Distinct fingerprints that a shard holds about; the depth of the tree over all shards follows.
 SHARD_SIZE = 32_768
 #: Fingerprints in a leaf of the tree within a shard.
@@ -222,10 +223,11 @@ def link_shard(home: np.ndarray, query: np.ndarray, mask: np.uint64) -> np.ndarr
 
 def linked(fps: DataFrame, n: int) -> DataFrame:
     """fps(fp), distinct, n of them -> a, b (long): edges that connect what RADIUS links."""
-    share = min(1.0, 2 * SAMPLE / max(1, n))
-    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("fp", F.lit(1))).limit(SAMPLE)
-    values = np.array([r["fp"] for r in sample.collect()], np.int64).view(np.uint64)  # at most SAMPLE
     depth = max(0, math.ceil(math.log2(max(1, n) / SHARD_SIZE)))
+    wanted = SAMPLE << depth  # in proportion to the shards: about 1 / 256 to 1 / 128 of the fingerprints
+    share = min(1.0, wanted / max(1, n))
+    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    values = np.sort(sample.toArrow().column("fp").to_numpy()).view(np.uint64) if depth else np.zeros(0, np.uint64)
     masks = [block_mask(k) for k in range(len(BLOCKS))]
     trees = [grow(values, m, depth) for m in masks]
 
@@ -260,8 +262,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     roots = components(linked(groups, distinct))
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "fp-roots", distinct)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("fp", "n", "component_id"), "fp-components", distinct)
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    least = materialize(least, "components", distinct)
+    named = materialize(join_hot(rooted, least, "root", "members", distinct).select("fp", "n", "component_id"), "fp-components", distinct)
     out = sized(join_hot(rows, named, "fp", "n", total), total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

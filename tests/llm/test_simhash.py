@@ -71,6 +71,17 @@ def test_shards_lose_no_link():
         assert stars(np.concatenate(found)) == want
 
 
+def test_shards_stay_even_as_they_grow():
+    r = np.random.default_rng(0)
+    fps = np.unique(r.integers(0, 2**64, 200_000, np.uint64))
+    mask = s.block_mask(1)
+    for depth in (3, 6):
+        tree = s.grow(np.sort(r.choice(fps, s.SAMPLE << depth, replace=False)), mask, depth)
+        sizes = [int(home.sum()) for _, _, home in s.route(tree, fps, mask)]
+        assert len(sizes) == 1 << depth and sum(sizes) == len(fps)
+        assert max(sizes) <= 4 * len(fps) / len(sizes)
+
+
 def test_components_of_documents(spark, odd, make, monkeypatch):
     monkeypatch.setattr(s, "SHARD_SIZE", 64)
     texts = [f"{' '.join(f'w{(i * 7 + k) % 50}' for k in range(40))} tail{i % 5}" for i in range(120)]
