@@ -66,6 +66,12 @@ class Words:
         return h ^ (h >> np.uint64(32))
 
 
+def unique(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by a sort, which is quicker than hashing them."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def ngrams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the first words of n-grams within one text, and hashes of the n-grams."""
     if len(hashes) < n:
