@@ -108,11 +108,13 @@ class Library:
         return self.add_documents(docs, path, fmt, options, sha)
 
     def _sha(self, path: str) -> str:
-        """Of the contents of small files; large ones count with their length and time."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        large = files.where("length > 100000000").select("path", F.concat_ws("#", "length", "modificationTime").alias("s"))
-        small = files.where("length <= 100000000").select("path", F.sha2("content", 256).alias("s"))
-        one = small.unionByName(large).select(F.sha2(F.concat_ws("#", "path", "s"), 256).alias("s"))
+        """Of all lines of all files with their places, whatever a file's size; no file is held whole.
+
+        A place is a line's number within its task, so another setting of Spark's split sizes reads as a change.
+        """
+        lines = self.spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        one = lines.select(F.sha2(F.concat_ws("#", F.input_file_name(), F.col("_metadata.file_block_start"), F.col("_metadata.file_size"), place, F.sha2(F.col("value").cast("binary"), 256)), 256).alias("s"))
         # a sum of hashes has no order to keep
         return str(one.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring("s", 1, 15), 16, 10).cast("decimal(38,0)")).alias("h")).first())
 
@@ -147,6 +149,8 @@ class Library:
         tokens = sentences.select("doc", "unit", "sent", F.posexplode("words").alias("pos", "token"))
         by_unit = kept(tokens.groupBy("doc", "unit", "token").agg(F.count(F.lit(1)).alias("tf")), "unit-terms")
         terms = save(by_unit.groupBy("doc", "token").agg(F.sum("tf").alias("tf")).repartition("token").sortWithinPartitions("token"), "terms")
+        lengths = save(L.lengths(docs.select(F.col("row").alias("doc")), terms, "doc"), "lengths")
+        mean = lengths.agg(F.avg("len")).first()[0] or 0.0
         first = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "unit", "sent", "pos")).alias("_f"))
         vocab = save(numbered(first, [F.asc("_f")], "row").select("token", "row", "n"), "vocab")
         ordered = sentences.select("doc", (F.col("unit").cast("long") * (1 << 32) + F.col("sent")).alias("sent"), "words")
@@ -176,7 +180,7 @@ class Library:
             places = numbered(once, [F.asc("_f")], "row").select("level", "row")
             sums = V.summed(own.select("row", "level").distinct().join(document.select("row", "vec"), "row").drop("row"), ["level"], "vec", self.config.factor_aggregate)
             sizes[name] = space(sums.join(places, "level").select("row", F.col("level").alias("label"), F.col("vec").cast("array<float>").alias("vec")), name).count()
-        info = {"created_at": began.isoformat(timespec="seconds"), "embedder": model.config(), "text_mode": self.config.text_mode, "fields": self.config.fields, "path": base, "spaces": sizes, "n_documents": n_docs, "vocab_size": sizes["word"], "documents": self.store.fingerprint(), "seconds": (datetime.now(UTC) - began).total_seconds()}
+        info = {"created_at": began.isoformat(timespec="seconds"), "embedder": model.config(), "text_mode": self.config.text_mode, "fields": self.config.fields, "path": base, "spaces": sizes, "n_documents": n_docs, "mean_length": mean, "vocab_size": sizes["word"], "documents": self.store.fingerprint(), "seconds": (datetime.now(UTC) - began).total_seconds()}
         return info | {"id": self.store.record_build(info)}
 
     # --- what is built ---
@@ -279,8 +283,7 @@ class Library:
             semantic = semantic.select("row", "label", "score")
         if method != "semantic":
             asked = self.spark.createDataFrame([(0, t) for t in known], "query_id int, token string")
-            docs = self.space("document").select(F.col("row").alias("doc"))
-            lexical = L.bm25(docs, self._table("terms"), asked, "doc").select(F.col("doc").alias("row"), "score")
+            lexical = L.bm25(None, self._table("terms"), asked, "doc", stored=(self._table("lengths"), self.info["n_documents"], self.info["mean_length"])).select(F.col("doc").alias("row"), "score")
         if method == "semantic":
             scored = semantic
         elif method == "lexical":

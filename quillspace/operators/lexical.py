@@ -24,6 +24,13 @@ def token_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", portabl
     return found.withColumn("pos", F.col("pos") + 1)
 
 
+def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each sentence with a token: key, sent (from 1), words; Latin folding with built-ins alone."""
+    pieces = docs.select(key, F.posexplode(T.portable_sentences(F.col(text))).alias("sent", "_piece"))
+    cut = pieces.select(key, (F.col("sent") + 1).alias("sent"), F.regexp_extract_all("_piece", F.lit(T.WORD), F.lit(0)).alias("words"))
+    return cut.where(F.size("words") > 0)
+
+
 def vocabulary(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """token, n, first: occurrences and the first place struct(key, sent, pos)."""
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "sent", "pos")).alias("first"))
@@ -45,13 +52,17 @@ def idf(counts: DataFrame, totals: DataFrame) -> DataFrame:
     return df.select("token", "df", F.log1p((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25(docs: DataFrame, counts: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "query_id") -> DataFrame:
+def bm25(docs: DataFrame, counts: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "query_id", stored: tuple[DataFrame, int, float] | None = None) -> DataFrame:
     """Scores over 0 of queries(query, token), each token once: query, key, score.
 
     Only postings of query tokens are joined; idf and the average length are over all documents.
+    stored: lengths(key, len), the number of documents and their mean length, if a build has them.
     """
-    sizes = lengths(docs, counts, key)
-    totals = sizes.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("len").alias("_mean"))
+    sizes = stored[0] if stored else lengths(docs, counts, key)
+    if stored:
+        totals = counts.sparkSession.range(1).select(F.lit(float(stored[1])).alias("_n"), F.lit(float(stored[2])).alias("_mean"))
+    else:
+        totals = sizes.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("len").alias("_mean"))
     terms = queries.select(query, "token").distinct()
     wanted = terms.select("token").distinct()
     postings = counts.join(wanted, "token", "left_semi")

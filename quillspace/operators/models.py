@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
+from itertools import count
 from typing import Any
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .space import Binding
 
-#: Word vectors of so many bytes at most are broadcast to the counts of terms; larger ones are shuffled.
+#: Word vectors of so many bytes at most are broadcast to the counts of terms at a time.
 BROADCAST_BYTES = 64_000_000
 #: Numbers of partial sums and of environment vectors that a task holds at most.
 HELD = 16_000_000
@@ -94,14 +96,23 @@ def make(name: str, **params: Any) -> Model:
 
 
 def environment(token: str, model: Model) -> np.ndarray:
-    """Of a word, float64; from a hash of seed and word alone."""
-    state = int.from_bytes(hashlib.blake2b(f"{model.seed}#{token}".encode(), digest_size=8).digest(), "little")
-    draw = np.random.default_rng(state)
+    """Of a word, float64; from hashes of seed and word alone.
+
+    Ternary: draws 0, 1, … are the first 8 hex digits of md5 of seed#token#draw, modulo dim; the first
+    `nonzeros` different places get +1, the second half of them -1.
+    """
     if model.environment == "gaussian":
+        state = int.from_bytes(hashlib.blake2b(f"{model.seed}#{token}".encode(), digest_size=8).digest(), "little")
+        draw = np.random.default_rng(state)
         return (draw.standard_normal(model.dim) / np.sqrt(model.dim)).astype(np.float32).astype(np.float64)
+    places: dict[int, None] = {}
+    start, draws = hashlib.md5(f"{model.seed}#{token}#".encode()), count()
+    while len(places) < model.nonzeros:
+        drawn = start.copy()
+        drawn.update(b"%d" % next(draws))
+        places[int.from_bytes(drawn.digest()[:4]) % model.dim] = None
     out = np.zeros(model.dim, np.float32)  # sums of it are whole numbers
-    at = draw.permutation(model.dim)[: model.nonzeros]
-    out[at[::2]], out[at[1::2]] = 1.0, -1.0
+    out[list(places)] = np.repeat([1.0, -1.0], model.nonzeros // 2)
     return out
 
 
@@ -169,7 +180,7 @@ def memories(sentences: list[list[str]], env: Environment, model: Model, binding
             yield w, 1, v
 
 
-def _sums(sentences: DataFrame, model: Model) -> DataFrame:
+def memory_sums(sentences: DataFrame, model: Model) -> DataFrame:
     """sentences(words) -> token, kind (0 context, 1 order), vec: sums over all sentences of two words or more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,23 +262,24 @@ def environments(words: DataFrame, model: Model) -> DataFrame:
     return words.select("token").mapInArrow(make_all, "token string, vec array<double>")
 
 
-def word_vectors(sentences: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
-    """sentences(doc, sent, words), vocab(token) -> token, vec (array<float>): a row for each word of vocab.
+def word_vectors(sentences: DataFrame, vocab: DataFrame, model: Model, number: str = "float") -> DataFrame:
+    """sentences(doc, sent, words), vocab(token) -> token, vec (array of `number`): a row for each word of vocab.
 
     Memories are brought to unit length and added; a word of one-word sentences alone has a zero vector.
     Rows of the folding model start as environments, so such words keep theirs.
     """
+    kind = f"array<{number}>"
     if model.fold:
         found = _folded(sentences, model)
         rest = vocab.select("token").join(found.select("token"), "token", "left_anti")
-        return found.unionByName(environments(rest, model)).select("token", F.col("vec").cast("array<float>").alias("vec"))
+        return found.unionByName(environments(rest, model)).select("token", F.col("vec").cast(kind).alias("vec"))
     if not (model.context or model.order):
-        return environments(vocab, model).select("token", F.col("vec").cast("array<float>").alias("vec"))
-    sums = _sums(sentences, model).select("token", array_to_vector("vec").alias("_w"))
+        return environments(vocab, model).select("token", F.col("vec").cast(kind).alias("vec"))
+    sums = memory_sums(sentences, model).select("token", array_to_vector("vec").alias("_w"))
     units = Normalizer(p=2.0, inputCol="_w", outputCol="_v").transform(sums)  # a zero vector stays zero
     added = units.groupBy("token").agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("vec"))
     zero = F.array_repeat(F.lit(0.0), model.dim)
-    return vocab.select("token").join(added, "token", "left").select("token", F.coalesce("vec", zero).cast("array<float>").alias("vec"))
+    return vocab.select("token").join(added, "token", "left").select("token", F.coalesce("vec", zero).cast(kind).alias("vec"))
 
 
 # --- composition ---
@@ -282,15 +294,25 @@ def without_stop_words(counts: DataFrame, model: Model, key: str) -> DataFrame:
 
 
 def composed(items: DataFrame, counts: DataFrame, words: DataFrame, model: Model, key: str) -> DataFrame:
-    """items(key, ...) with vec: the sum of word vectors with multiplicity; zero without a known word."""
-    kept = without_stop_words(counts, model, key)
-    n = words.count()
+    """items(key, ...) with vec: the sum of word vectors with multiplicity; zero without a known word.
+
+    Counts are dealt by item first, so an item's vectors are added up where they are looked up and none is
+    shuffled for a word. Word vectors of over BROADCAST_BYTES are broadcast a block at a time, and a block's
+    sums are added to those of the others.
+    """
+    kept = without_stop_words(counts, model, key).select(key, "token", "tf").repartition(key)
+    blocks = max(1, -(-8 * words.count() * model.dim // BROADCAST_BYTES))
     vectors = words.select("token", array_to_vector(F.col("vec").cast("array<double>")).alias("_v"))
-    if 8 * n * model.dim <= BROADCAST_BYTES:
-        vectors = F.broadcast(vectors)
-    sums = kept.join(vectors, "token").groupBy(key).agg(vector_to_array(Summarizer.sum(F.col("_v"), F.col("tf").cast("double"))).alias("vec"))
+    block = F.pmod(F.xxhash64("token"), F.lit(blocks))
+    parts = []
+    for k in range(blocks):
+        some, own = (kept, vectors) if blocks == 1 else (kept.where(block == k), vectors.where(block == k))
+        parts.append(some.join(F.broadcast(own), "token").groupBy(key).agg(Summarizer.sum(F.col("_v"), F.col("tf").cast("double")).alias("_v")))
+    sums = reduce(DataFrame.unionByName, parts)
+    if blocks > 1:
+        sums = sums.groupBy(key).agg(Summarizer.sum(F.col("_v")).alias("_v"))
     zero = F.array_repeat(F.lit(0.0), model.dim)
-    return items.join(sums, key, "left").withColumn("vec", F.coalesce("vec", zero).cast("array<float>"))
+    return items.join(sums.select(key, vector_to_array("_v").alias("vec")), key, "left").withColumn("vec", F.coalesce("vec", zero).cast("array<float>"))
 
 
 def query_terms(tokens: list[str], known: Callable[[str], bool], model: Model) -> list[str]:

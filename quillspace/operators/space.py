@@ -1,139 +1,14 @@
-"""Word, document and factor vectors in one space.
-
-Ternary environment vectors are a pure function of seed and word, so they need no stored dictionary
-and no order of the vocabulary; sums of them are whole numbers, the same on any partitioning. They are
-kept as coordinates (token, dim, x). Dense work (n-gram binding, gaussian vectors) runs per partition on
-Arrow batches, with partial sums before the shuffle.
-"""
+"""Binding of vectors by order, and nearest neighbours in a space."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vector as V
-
-
-# --- environment ---
-
-
-def ternary_env(words: DataFrame, dim: int, nonzero: int, seed: int = 0) -> DataFrame:
-    """words(token), distinct -> token, dim, x: `nonzero` places of each word, half +1 and half -1.
-
-    The places are those with the smallest md5 of seed#token#dim.
-    """
-    if nonzero % 2 or not 0 < nonzero <= dim:
-        raise ValueError("nonzero must be even, over 0 and at most dim")
-    ranked = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda d: F.struct(F.md5(F.concat(F.lit(f"{seed}#"), F.col("token"), F.lit("#"), d.cast("string"))).alias("h"), d.alias("d")),
-    )
-    first = F.slice(F.array_sort(ranked), 1, nonzero)
-    signed = F.transform(first, lambda s, i: F.struct(s["d"].alias("dim"), F.when(i < nonzero // 2, 1).otherwise(-1).alias("x")))
-    return words.select("token", F.inline(signed))
-
-
-def gaussian(token: str, dim: int, seed: int) -> np.ndarray:
-    """N(0, 1/dim), float32, from a hash of seed and token."""
-    state = int.from_bytes(hashlib.blake2b(f"{seed}#{token}".encode(), digest_size=8).digest(), "little")
-    return (np.random.default_rng(state).standard_normal(dim) / np.sqrt(dim)).astype(np.float32)
-
-
-# --- composition ---
-
-
-def composing(tokens: DataFrame, stop: Iterable[str] = (), key: str = "doc_id") -> DataFrame:
-    """Token rows without stop words; documents of nothing else keep theirs."""
-    stop = list(stop)
-    if not stop:
-        return tokens
-    content = F.max((~F.col("token").isin(stop)).cast("int")).over(Window.partitionBy(key))
-    return tokens.withColumn("_content", content).where((F.col("_content") == 0) | ~F.col("token").isin(stop)).drop("_content")
-
-
-def compose(tokens: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Sums of word coordinates (token, dim, x) with multiplicity: key, dim, x. Zeros are left out."""
-    counts = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("_n"))
-    sums = counts.join(words, "token").groupBy(key, "dim").agg(F.sum(F.col("_n") * F.col("x")).alias("x"))
-    return sums.where("x <> 0")
-
-
-def factor_space(vectors: DataFrame, levels: DataFrame, key: str = "doc_id", how: str = "sum") -> DataFrame:
-    """Coordinates (key, dim, x) summed or averaged over levels(key, level); a document counts once for a level."""
-    if how not in ("sum", "mean"):
-        raise ValueError("how is sum or mean")
-    once = levels.select(key, "level").distinct()
-    sums = once.join(vectors, key).groupBy("level", "dim").agg(F.sum("x").alias("x"))
-    if how == "mean":
-        sizes = once.groupBy("level").agg(F.count(F.lit(1)).alias("_n"))
-        sums = sums.join(sizes, "level").select("level", "dim", (F.col("x") / F.col("_n")).alias("x"))
-    return sums
-
-
-def densified(coords: DataFrame, key: str, dim: int) -> DataFrame:
-    """key, vec: coordinates as array<float>."""
-    placed = coords.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("_m"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.element_at("_m", d), F.lit(0)).cast("float"))
-    return placed.select(key, at.alias("vec"))
-
-
-def unit_coords(coords: DataFrame, key: str) -> DataFrame:
-    size = F.sqrt(F.sum(F.col("x").cast("double") * F.col("x")).over(Window.partitionBy(key)))
-    return coords.withColumn("_n", size).where("_n > 0").select(key, "dim", (F.col("x") / F.col("_n")).alias("x"))
-
-
-# --- memories ---
-
-
-def eligible(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Tokens of sentences of two or more, stop words counted."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(key, "sent"))
-    return tokens.withColumn("_size", size).where("_size >= 2").drop("_size")
-
-
-def context_memory(tokens: DataFrame, env: DataFrame, stop: Iterable[str] = (), key: str = "doc_id") -> DataFrame:
-    """token, dim, x: for each occurrence the sum of the environments of the other kept tokens of its sentence.
-
-    Sums are made once for each sentence and joined back, less the token's own part; pairs of words are
-    never made.
-    """
-    live = eligible(tokens, key)
-    kept = live.where(~F.col("token").isin(list(stop))) if stop else live
-    placed = kept.groupBy(key, "sent", "token").agg(F.count(F.lit(1)).alias("_n")).join(env, "token")
-    sums = placed.groupBy(key, "sent", "dim").agg(F.sum(F.col("_n") * F.col("x")).alias("x"))
-    seen = live.groupBy(key, "sent", "token").agg(F.count(F.lit(1)).alias("_n"))
-    whole = seen.join(sums, [key, "sent"]).select("token", "dim", (F.col("_n") * F.col("x")).alias("x"))
-    own = kept.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).join(env, "token").select("token", "dim", (-F.col("_n") * F.col("x")).alias("x"))
-    return whole.unionByName(own).groupBy("token", "dim").agg(F.sum("x").alias("x")).where("x <> 0")
-
-
-def order_memory_rp(tokens: DataFrame, env: DataFrame, dim: int, window: int = 2, stop: Iterable[str] = (), key: str = "doc_id") -> DataFrame:
-    """token, dim, x: environments of neighbours at -window..window, rolled by their distance."""
-    at = Window.partitionBy(key, "sent").orderBy("pos")
-    pairs = None
-    for k in (*range(-window, 0), *range(1, window + 1)):
-        near = F.lead("token", k).over(at) if k > 0 else F.lag("token", -k).over(at)
-        some = tokens.select("token", near.alias("near"), F.lit(k).alias("k")).where("near is not null")
-        pairs = some if pairs is None else pairs.unionByName(some)
-    if stop:
-        pairs = pairs.where(~F.col("near").isin(list(stop)))
-    counts = pairs.groupBy("token", "near", "k").agg(F.count(F.lit(1)).alias("_n"))
-    placed = counts.join(env.withColumnRenamed("token", "near"), "near")
-    rolled = placed.select("token", F.pmod(F.col("dim") + F.col("k"), F.lit(dim)).alias("dim"), (F.col("_n") * F.col("x")).alias("x"))
-    return rolled.groupBy("token", "dim").agg(F.sum("x").alias("x")).where("x <> 0")
-
-
-def beagle_rp(tokens: DataFrame, env: DataFrame, dim: int, window: int = 2, stop: Iterable[str] = (), key: str = "doc_id") -> DataFrame:
-    """Unit context plus unit order memory as token, dim, x."""
-    parts = unit_coords(context_memory(tokens, env, stop, key), "token").unionByName(unit_coords(order_memory_rp(tokens, env, dim, window, (), key), "token"))
-    return parts.groupBy("token", "dim").agg(F.sum("x").alias("x"))
-
-
 class Binding:
     """Placeholder and permutations of one dimension and seed."""
 
@@ -186,27 +61,6 @@ class Binding:
         return out
 
 
-def order_memory_beagle(tokens: DataFrame, dim: int, longest: int = 7, seed: int = 0, key: str = "doc_id") -> DataFrame:
-    """token, vec: n-gram order memory; partial sums are made in each partition before the shuffle."""
-    lists = eligible(tokens, key).groupBy(key, "sent").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("s")).select(F.col("s.token").alias("s"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        binding, env = Binding(dim, seed), {}
-        for b in batches:
-            sums: dict[str, np.ndarray] = {}
-            for sentence in b.column(0).to_pylist():
-                for w in sentence:
-                    if w not in env:
-                        env[w] = gaussian(w, dim, seed).astype(np.float64)
-                for w, v in zip(sentence, binding.order(np.stack([env[w] for w in sentence]), longest), strict=True):
-                    sums[w] = sums[w] + v if w in sums else v
-                if len(env) > 50_000:
-                    env.clear()
-            yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["token", "vec"])
-
-    return V.summed(lists.mapInArrow(scan, "token string, vec array<double>"), ["token"], "vec").drop("n")
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, label: str = "label", vec: str = "vec") -> DataFrame:
     """query, label, score, rank: the k nearest other rows of vectors for each row of queries.
 

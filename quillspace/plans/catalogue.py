@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions import vector as V
 from ..functions.shared import numbered
 from ..operators import evaluate as E
 from ..operators import lexical as L
+from ..operators import models as N
 from ..operators import passages as P
 from ..operators import project as M
 from ..operators import search as S
@@ -63,9 +65,10 @@ weights as (select token, ln(cast(1 as double) + (n - cast(count(*) as double) +
 scored as (select query_id, tf.doc_id, sum(idf * tf * cast(2.2 as double) / (tf + cast(1.2 as double) * (cast(0.25 as double) + cast(0.75 as double) * len / case when mean > 0 then mean else 1 end))) as score
   from tf join terms using (token) join weights using (token) join sizes using (doc_id), totals group by query_id, tf.doc_id)"""
 _ENV = f"""
-hashed as (select token, d.d as dim, row_number() over (partition by token order by md5('0#' || token || '#' || cast(d.d as varchar)), d.d) as r
-  from (select distinct token from tok), (select cast(unnest(range(0, {DIM})) as integer) as d) d),
-env as (select token, dim, case when r <= {NONZERO // 2} then 1 else -1 end as x from hashed where r <= {NONZERO})"""
+drawn as (select token, r, cast('0x' || substr(md5('0#' || token || '#' || cast(r as varchar)), 1, 8) as bigint) % {DIM} as dim
+  from (select distinct token from tok), (select unnest(range(0, 64)) as r)),
+placed as (select token, dim, row_number() over (partition by token order by min(r)) as p from drawn group by token, dim),
+env as (select token, cast(dim as integer) as dim, case when p <= {NONZERO // 2} then 1 else -1 end as x from placed where p <= {NONZERO})"""
 _DOCS = """
 doc as (select doc_id, dim, cast(sum(tf * x) as bigint) as x from tf join env using (token) group by doc_id, dim having sum(tf * x) <> 0)"""
 
@@ -78,13 +81,30 @@ def _toks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.token_rows(_docs(spark, sf_dir))
 
 
-def _env(tokens: DataFrame) -> DataFrame:
-    return X.ternary_env(tokens.select("token").distinct(), DIM, NONZERO)
+#: The models of a library at a small size; documents are composed of all their words.
+RANDOM = N.make("random", dim=DIM, environment="ternary", nonzeros=NONZERO, compose_without_stopwords=False)
+ROLLED = N.make("beagle-rp", dim=DIM, nonzeros=NONZERO, window=WINDOW)
 
 
-def _doc_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _toks(spark, sf_dir)
-    return X.compose(tokens, _env(tokens))
+def _sents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.sentence_rows(_docs(spark, sf_dir))
+
+
+def _env(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token, vec of all words of the corpus."""
+    sents = _sents(spark, sf_dir)
+    return N.word_vectors(sents, sents.select(F.explode("words").alias("token")).distinct(), RANDOM)
+
+
+def _dims(df: DataFrame, key: str) -> DataFrame:
+    """key, dim, x: what is not zero in vectors of whole numbers."""
+    return df.select(key, F.posexplode("vec").alias("dim", "x")).select(key, "dim", F.rint("x").cast("long").alias("x")).where("x <> 0")
+
+
+def _doc_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, vec as a library composes them; a zero vector for documents without a word."""
+    docs = _docs(spark, sf_dir)
+    return N.composed(docs.select("doc_id"), L.term_counts(_toks(spark, sf_dir)), _env(spark, sf_dir), RANDOM, "doc_id")
 
 
 def _words_of(spark: SparkSession, text: str = QUERY) -> DataFrame:
@@ -298,12 +318,12 @@ def associates_knn(spark, sf_dir):
 
 @query(f"with {_tokens()}, {_ENV} select token, dim, x from env")
 def ternary_env(spark, sf_dir):
-    return _env(_toks(spark, sf_dir))
+    return _dims(_env(spark, sf_dir), "token").withColumn("x", F.col("x").cast("int"))
 
 
 @query(f"with {_tokens()}, {_ENV}, {_DOCS} select doc_id, dim, x from doc")
 def doc_vectors_random(spark, sf_dir):
-    return _doc_coords(spark, sf_dir)
+    return _dims(_doc_space(spark, sf_dir), "doc_id")
 
 
 _ELIGIBLE = "el as (select * from (select *, count(*) over (partition by doc_id, sent) as size from tok) where size >= 2)"
@@ -314,16 +334,14 @@ s as (select doc_id, sent, dim, sum(x) as x from kept join env using (token) gro
 parts as (select token, dim, x from el join s using (doc_id, sent) union all select token, dim, -x from kept join env using (token))
 select token, dim, cast(sum(x) as bigint) as x from parts group by token, dim having sum(x) <> 0""")
 def context_vectors(spark, sf_dir):
-    tokens = _toks(spark, sf_dir)
-    return X.context_memory(tokens, _env(tokens), T.ENGLISH)
+    return _dims(N.memory_sums(_sents(spark, sf_dir), replace(ROLLED, order=False)), "token")
 
 
 @query(f"""with {_tokens()}, {_ENV}, near as (select a.token, b.token as near, b.pos - a.pos as k, count(*) as n
   from tok a join tok b on a.doc_id = b.doc_id and a.sent = b.sent and abs(b.pos - a.pos) between 1 and {WINDOW} group by a.token, b.token, b.pos - a.pos)
 select n.token, cast((e.dim + n.k + {DIM}) % {DIM} as integer) as dim, cast(sum(n.n * e.x) as bigint) as x from near n join env e on e.token = n.near group by 1, 2 having sum(n.n * e.x) <> 0""")
 def rp_order_vectors(spark, sf_dir):
-    tokens = _toks(spark, sf_dir)
-    return X.order_memory_rp(tokens, _env(tokens), DIM, WINDOW)
+    return _dims(N.memory_sums(_sents(spark, sf_dir), replace(ROLLED, context=False)), "token")
 
 
 _QUERY_VECTOR = f"q as (select dim, cast(sum(x) as double) as q from env where token in (select token from terms) group by dim), qn as (select sqrt(sum(q * q)) as qn from q)"
@@ -333,13 +351,11 @@ sem as (select doc_id, round(coalesce(sum(x * q), 0) / (sqrt(sum(x * cast(x as d
 
 def _semantic(spark, sf_dir):
     """Cosine of every document with a vector to the sum of the query's words."""
-    tokens = _toks(spark, sf_dir)
-    env = _env(tokens)
-    wanted = env.where(F.col("token").isin(QUERY.split())).groupBy("dim").agg(F.sum("x").cast("double").alias("q"))
-    size = F.broadcast(wanted.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn")))
-    docs = X.compose(tokens, env).join(F.broadcast(wanted), "dim", "left").crossJoin(size)  # a row for each dim, and one
-    score = F.coalesce(F.sum(F.col("x") * F.col("q")), F.lit(0.0)) / (F.sqrt(F.sum(F.col("x").cast("double") * F.col("x"))) * F.max("qn"))
-    return docs.groupBy("doc_id").agg(F.round(score, 9).alias("score"))
+    asked = QUERY.split()
+    seen = _toks(spark, sf_dir).where(F.col("token").isin(asked)).select("token").distinct()
+    query = [sum(x) for x in zip(*(r["vec"] for r in N.environments(seen, RANDOM).collect()), strict=True)]  # a row for each word of the query
+    space = _doc_space(spark, sf_dir).where(F.exists("vec", lambda x: x != 0))
+    return S.scores(space, query).select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query(f"with {_tokens()}, {_TERMS}, {_ENV}, {_DOCS}, {_QUERY_VECTOR}, {_SEMANTIC} select doc_id, round(semantic, 6) as score from sem")
@@ -348,11 +364,12 @@ def semantic_search_docs(spark, sf_dir):
 
 
 def _factor(name: str):
-    sql = f"with {_tokens()}, {_ENV}, {_DOCS} select {name} as level, dim, cast(sum(x) as bigint) as x from doc join documents using (doc_id) group by {name}, dim"
+    sql = f"with {_tokens()}, {_ENV}, {_DOCS} select {name} as level, dim, cast(sum(x) as bigint) as x from doc join documents using (doc_id) group by {name}, dim having sum(x) <> 0"
 
     def run(spark, sf_dir):
         levels = _docs(spark, sf_dir).select("doc_id", F.col(name).alias("level"))
-        return X.factor_space(_doc_coords(spark, sf_dir), levels)
+        vectors = V.summed(_doc_space(spark, sf_dir).join(levels.distinct(), "doc_id"), ["level"], "vec")
+        return _dims(vectors, "level")
 
     run.__name__ = f"factor_space_{name}"
     query(sql)(run)
@@ -538,11 +555,11 @@ near as (select a.token, b.token as near, b.pos - a.pos as k, count(*) as n
   from tok a join tok b on a.doc_id = b.doc_id and a.sent = b.sent and abs(b.pos - a.pos) between 1 and {WINDOW} group by a.token, b.token, b.pos - a.pos),
 orders as (select n.token, cast((e.dim + n.k + {DIM}) % {DIM} as integer) as dim, cast(sum(n.n * e.x) as double) as x from near n join env e on e.token = n.near group by 1, 2 having sum(n.n * e.x) <> 0),
 units as (select token, dim, x / sqrt(sum(x * x) over (partition by token)) as x from context union all select token, dim, x / sqrt(sum(x * x) over (partition by token)) from orders)
-select token, dim, round(sum(x), 6) + 0 as x from units group by token, dim""")
+select token, dim, round(sum(x), 6) + 0 as x from units group by token, dim having round(sum(x), 6) <> 0""")
 def rp_composite_vectors(spark, sf_dir):
-    tokens = _toks(spark, sf_dir)
-    made = X.beagle_rp(tokens, _env(tokens), DIM, WINDOW, T.ENGLISH)
-    return made.select("token", "dim", (F.round("x", 6) + 0.0).alias("x"))
+    sents = _sents(spark, sf_dir)
+    made = N.word_vectors(sents, sents.select(F.explode("words").alias("token")).distinct(), ROLLED, "double")
+    return made.select("token", F.posexplode("vec").alias("dim", "x")).select("token", "dim", (F.round("x", 6) + 0.0).alias("x")).where("x <> 0")
 
 
 @query(f"""with {_tokens()}, {_TERMS}, {_ENV}, {_DOCS}, {_QUERY_VECTOR}, {_SEMANTIC},
@@ -580,7 +597,7 @@ def chunk_pack(spark, sf_dir):
 @query()
 def beagle_order(spark, sf_dir):
     """Over all documents, at the model's own size and longest n-gram."""
-    made = X.order_memory_beagle(_toks(spark, sf_dir), 1024)
+    made = N.memory_sums(_sents(spark, sf_dir), N.make("beagle", context=False))
     return made.select("token", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from quillspace.operators import simulate, space
+from quillspace.operators import models, simulate
 from quillspace.plans.catalogue import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -55,21 +55,21 @@ def test_corpus_queries_take_the_whole_corpus(spark, sf_dir, monkeypatch):
     class Stopped(Exception):
         pass
 
-    def order(tokens, dim, longest=7, seed=0, key="doc_id"):
-        taken["order"] = tokens, key, dim, longest
+    def order(sentences, model):
+        taken["order"] = sentences, model
         raise Stopped
 
     def simulated(sentences, docs, plan=None, ready=None):
         taken["simulations"] = docs, plan
         raise Stopped
 
-    monkeypatch.setattr(space, "order_memory_beagle", order)
+    monkeypatch.setattr(models, "memory_sums", order)
     monkeypatch.setattr(simulate, "simulate", simulated)
     for name in ("beagle_order", "simulations"):
         with pytest.raises(Stopped):
             QUERIES[name](spark, sf_dir)
-    tokens, key, dim, longest = taken["order"]
-    with_words = {r[0] for r in tokens.select(key).distinct().collect()}
-    assert (dim, longest) == (1024, 7) and with_words <= docs and len(with_words) > 0.9 * len(docs)
+    sentences, model = taken["order"]
+    with_words = {r[0] for r in sentences.select("doc_id").distinct().collect()}
+    assert (model.dim, model.max_ngram) == (1024, 7) and with_words <= docs and len(with_words) > 0.9 * len(docs)
     given, plan = taken["simulations"]
     assert {r[0] for r in given.collect()} == docs and plan == simulate.Plan()
