@@ -21,7 +21,7 @@ def main() -> None:
     from pyspark.sql import functions as F
 
     from quillspace.functions import text as T
-    from quillspace.plans.catalogue import QUERIES
+    from quillspace.plans.registry import QUERIES
 
     folder = tempfile.mkdtemp(prefix="bench-")
     spark = (

@@ -202,16 +202,6 @@ def legacy_sentence_counts(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(T.legacy_sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query()
-def sentence_split_counts(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(T.sentences(F.coalesce("text", F.lit("")))).alias("n"))
-
-
-@query()
-def unicode_token_counts(spark, sf_dir):
-    return L.token_rows(_docs(spark, sf_dir), portable=False).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- vectors of `embeddings` ---
 
 
@@ -473,17 +463,6 @@ def merge_identical_text(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.array_join(F.array_sort(F.collect_set("source")), ";").alias("sources"))
 
 
-@query(r"""with s as (select page_id, trim(regexp_replace(regexp_replace(lower(unnest(string_split(html, '>'))), '[0-9]+', '#', 'g'), '[ \t\n\f\r\v]+', ' ', 'g')) as key from pages),
-p as (select count(*) as n from pages)
-select key, count(distinct page_id) as seen from s, p where key <> '' group by key, n having count(distinct page_id) >= greatest(2, ceil(n * cast(0.3 as double)))""")
-def margin_vote(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages")
-    keys = pages.select("page_id", F.explode(F.split("html", ">")).alias("line")).select("page_id", T.margin_key(F.col("line")).alias("key"))
-    seen = keys.where("key <> ''").groupBy("key").agg(F.countDistinct("page_id").alias("seen"))
-    n = F.broadcast(pages.agg(F.count(F.lit(1)).alias("_n")))  # one row
-    return seen.crossJoin(n).where(F.col("seen") >= F.greatest(F.lit(2), F.ceil(F.col("_n") * 0.3))).select("key", "seen")
-
-
 @query("""select label, row from (select source as label, min(doc_id) as row from documents group by source) where instr(lower(label), 'c1') > 0
 order by case when instr(lower(label), 'c1') = 1 then 0 else 1 end, row limit 12""")
 def picker_lookup(spark, sf_dir):
@@ -514,20 +493,6 @@ def record_titles(spark, sf_dir):
     return docs.select("id", D.title().alias("title"), F.size("units").alias("n_units"), F.get_json_object("meta", "$.n_chars").alias("n_chars"))
 
 
-@query("""with v as (select source, row_number() over (order by min(doc_id), source) as code from documents group by source)
-select doc_id, code from documents join v using (source)""")
-def export_factor_codes(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    codes = numbered(docs.groupBy("source").agg(F.min("doc_id").alias("_f")), [F.asc("_f"), F.asc("source")], "code").select("source", "code")
-    return docs.join(codes, "source").select("doc_id", "code")
-
-
-@query("with n as (select doc_id, row_number() over (order by doc_id, text) as row from documents) select (row - 1) // 500 as shard, count(*) as n, min(doc_id) as first from n group by 1")
-def export_shards(spark, sf_dir):
-    placed = numbered(_docs(spark, sf_dir).select("doc_id", "text"), [F.asc("doc_id"), F.asc("text")], "row")
-    return placed.groupBy(F.floor((F.col("row") - 1) / 500).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-
-
 @query("select vec_id as row, cast((i + 2) % 64 + 1 as bigint) as i, x from (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding) as x from embeddings)")
 def vector_roll(spark, sf_dir):
     rolled = _space(spark, sf_dir).select("row", F.posexplode(V.roll(F.col("vec"), 3)).alias("i", "x"))

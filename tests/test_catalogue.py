@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from quillspace.operators import models, simulate
-from quillspace.plans.catalogue import QUERIES, SQL
+from quillspace.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
