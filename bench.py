@@ -21,6 +21,7 @@ def main() -> None:
     from pyspark.sql import functions as F
 
     from quillspace.functions import text as T
+    from quillspace.plans.catalogue import QUERY
     from quillspace.plans.registry import QUERIES
 
     folder = tempfile.mkdtemp(prefix="bench-")
@@ -48,7 +49,16 @@ def main() -> None:
         QUERIES["vocab_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # starts workers, compiles
         for name in CATALOGUE:
             timed(name, lambda: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save())  # noqa: B023
+        from quillspace.library import Library
         from quillspace.operators import models
+        from quillspace.sources.mapping import FieldMapping
+
+        lib = Library.create(spark, f"file://{folder}/library", embedder="beagle-rp", embedder_params={"dim": 64, "nonzeros": 8})
+        timed("library_add", lambda: lib.add_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), FieldMapping.from_options(["text"], ["lang", "source"], "doc_id"), "documents"))
+        timed("library_build_beagle_rp_64", lib.build)
+        for method in ("lexical", "semantic", "hybrid"):
+            lib.search(QUERY, method=method).rows()
+            timed(f"library_search_{method}_warm", lambda: lib.search(QUERY, method=method).rows())  # noqa: B023
 
         items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc"), T.sentence_tokens(F.array(F.coalesce("text", F.lit("")))).alias("u")).select("doc", F.explode("u").alias("s")).select("doc", F.posexplode("s").alias("sent", "words")).cache()
         tokens, types = items.select(F.explode("words").alias("token")).count(), items.select(F.explode("words").alias("token")).distinct()

@@ -97,14 +97,14 @@ class Library:
     def add_records(self, records: DataFrame, mapping: D.FieldMapping | None = None, source: str | None = None) -> int:
         return self.add_documents(D.documents(records, mapping), source, "records")
 
-    def add_path(self, path: str, fmt: str | None = None, mapping: D.FieldMapping | None = None, split: str = "document", force: bool = False) -> int | None:
+    def add_path(self, path: str, fmt: str | None = None, mapping: D.FieldMapping | None = None, split: str = "document", force: bool = False, chunk_words: int = 250) -> int | None:
         """A file, or a folder of files of one format; None if nothing in it changed since it was added."""
         fmt = fmt or R.detect_format(path)
         sha = self._sha(path)
         if not force and self.store.sha_of(path) == sha:
             return None
-        docs = R.read_documents(self.spark, path, fmt, mapping, split)
-        options = {"split": split} | ({"text": mapping.text, "factors": mapping.factors, "id": mapping.id} if mapping else {})
+        docs = R.read_documents(self.spark, path, fmt, mapping, split, chunk_words)
+        options = {"split": split, "chunk_words": chunk_words} | ({"text": mapping.text, "factors": mapping.factors, "id": mapping.id} if mapping else {})
         return self.add_documents(docs, path, fmt, options, sha)
 
     def _sha(self, path: str) -> str:
@@ -139,13 +139,16 @@ class Library:
         n_docs = self.store.count()
         if not n_docs:
             raise LibraryError("there are no documents")
+        cores = self.spark.sparkContext.defaultParallelism
+        # a small corpus in few files would be few tasks' work
+        spread = docs.repartition(cores, "row") if docs.rdd.getNumPartitions() < cores else docs
         base = f"builds_data/{len(self.store.builds()) + 1:08d}-{began:%Y%m%d%H%M%S%f}"
 
         def save(df: DataFrame, name: str) -> DataFrame:
             df.write.parquet(self.folder.at(f"{base}/{name}"))
             return self.spark.read.schema(df.schema).parquet(self.folder.at(f"{base}/{name}"))
 
-        sentences = save(self.sentences(docs), "sentences")
+        sentences = save(self.sentences(spread), "sentences")
         tokens = sentences.select("doc", "unit", "sent", F.posexplode("words").alias("pos", "token"))
         by_unit = kept(tokens.groupBy("doc", "unit", "token").agg(F.count(F.lit(1)).alias("tf")), "unit-terms")
         terms = save(by_unit.groupBy("doc", "token").agg(F.sum("tf").alias("tf")).repartition("token").sortWithinPartitions("token"), "terms")
