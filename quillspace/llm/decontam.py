@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_or_empty
+from .common import frugal, table, text_or_empty
 from .words import Words, chunks, ngrams
 
 SEED = 4
@@ -151,7 +151,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                 kinds = (b.schema.field(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
-        out = out.unionByName(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(find, schema))
+        out = out.unionByName(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(frugal(find), schema))
     return out
 
 
@@ -168,7 +168,7 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                     at += len(part)
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(frugal(keep), docs.schema)
     return docs
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked, table, text_or_empty
+from .common import frugal, materialize, ranked, table, text_or_empty
 from .tokens import END_ID, default_path, encoder
 
 CAPACITY = 1024
@@ -132,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(frugal(encode), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             yield pa.record_batch([*keep, pa.array(found[:, 3] + nth - found[:, 1]), pa.array(found[:, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     numbered = ranked(cuts, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "nth", SALTS, bounded=True)
-    return numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(frugal(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op8_sum_of_squares_packing(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_hot, materialize, sized, table, text_or_empty
+from .common import frugal, join_hot, materialize, sized, table, text_or_empty
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(x.as_py(), size) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    return docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(frugal(scan), "doc_id long, fp long")
 
 
 # --- trees over all shards ---
@@ -245,7 +245,7 @@ def linked(fps: DataFrame, n: int) -> DataFrame:
         stars = link_shard(fp[home], fp, masks[block]).view(np.int64)
         return pa.table({"a": stars[:, 0], "b": stars[:, 1]})
 
-    sent = fps.select("fp").mapInArrow(send, "shard long, fp long, home boolean")
+    sent = fps.select("fp").mapInArrow(frugal(send), "shard long, fp long, home boolean")
     return sent.groupBy("shard").applyInArrow(compare_all, "a long, b long")
 
 
@@ -292,7 +292,7 @@ def firsts(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.string())], [*b.schema.names, "_fp"])
 
     order = Window.partitionBy("doc_id", "_fp").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    kept = again.mapInArrow(scan, schema).join(heads, ["doc_id", "_fp"], "left_semi")
+    kept = again.mapInArrow(frugal(scan), schema).join(heads, ["doc_id", "_fp"], "left_semi")
     return single.unionByName(kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(docs.columns))
 
 

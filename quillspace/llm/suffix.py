@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import numbered
-from .common import materialize, shuffle_parts, table, text_or_empty
+from .common import frugal, materialize, shuffle_parts, table, text_or_empty
 from .sais import common_prefixes, suffix_array
 
 WINDOW = 100
@@ -63,6 +63,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def forget() -> None:
+    _POWERS.clear()
+
+
 def segments(texts: list[bytes], nos: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
     """Of whole documents numbered nos; windows never cross documents. Shorter ones have none."""
     import xxhash
@@ -273,8 +277,8 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             no, packed = _cut_spans(some, window)
             yield pa.record_batch([pa.array(no), pa.array(packed), pa.array(np.ascontiguousarray(some["anchor"]).view(np.int64)), pa.array(np.full(len(no), kind, np.int8))], ["no", "span", "anchor", "ask"])
 
-    sent = docs.select("no", "text").mapInArrow(scan, "part int, same byte, payload binary")
-    matched = materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(match, "no long, span long, anchor long, ask byte"), "suffix-matches")
+    sent = docs.select("no", "text").mapInArrow(frugal(scan, forget), "part int, same byte, payload binary")
+    matched = materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(frugal(match), "no long, span long, anchor long, ask byte"), "suffix-matches")
 
     kinds = [("part", pa.int32()), ("anchor", pa.int64()), ("no", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())]
 
@@ -331,8 +335,8 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 low = high
 
     asked = matched.where("ask > 0").groupBy("no").agg(F.collect_list(F.struct("span", "anchor", "ask")).alias("asked"))
-    bytes_of = docs.select("no", "text").join(asked, "no").select("no", "text", "asked").mapInArrow(fetch, "part int, anchor long, no long, start long, bytes binary")
-    windows = bytes_of.repartitionById(parts, F.col("part")).mapInArrow(sort, "no long, span long")
+    bytes_of = docs.select("no", "text").join(asked, "no").select("no", "text", "asked").mapInArrow(frugal(fetch), "part int, anchor long, no long, start long, bytes binary")
+    windows = bytes_of.repartitionById(parts, F.col("part")).mapInArrow(frugal(sort), "no long, span long")
     return matched.where("ask = 0").select("no", "span").unionByName(windows).groupBy("no").agg(F.collect_list("span").alias("spans"))
 
 
@@ -376,7 +380,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if name == "text" else b.column(k) for k, name in enumerate(names)]
             yield pa.record_batch(columns, names)
 
-    return marked(docs, window).select(*names, SPANS).mapInArrow(trim, docs.schema)
+    return marked(docs, window).select(*names, SPANS).mapInArrow(frugal(trim), docs.schema)
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -393,7 +397,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = marked(docs.select("doc_id", "text"), window)
-    return found.select("doc_id", text_or_empty().cast("binary").alias("text"), SPANS).mapInArrow(measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", text_or_empty().cast("binary").alias("text"), SPANS).mapInArrow(frugal(measure), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, shuffle_parts, table, text_or_empty
+from .common import frugal, materialize, shared_path, shuffle_parts, table, text_or_empty
 from .tokens import END_ID, default_path, encoder
 
 BLOCK = 512
@@ -159,7 +159,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     parts = shuffle_parts(docs.sparkSession)
     ordered = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    packed = ordered.mapInArrow(encode, "payload binary")
+    packed = ordered.mapInArrow(frugal(encode), "payload binary")
     packed.select(F.col("payload").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
@@ -186,7 +186,7 @@ def _read(spark: SparkSession, path: str, out: pa.Field, of: Callable[[list[memo
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     numbers = [F.regexp_extract("path", r"/part-(\d+)[^/]*-c(\d+)[^/]*$", k).cast("int").alias(x) for k, x in ((1, "part"), (2, "file"))]
     kind = "binary" if out.type == pa.binary() else "long"
-    return files.select(*numbers, "content").mapInArrow(decode, f"part int, file int, nth long, doc_id long, start long, n_tokens long, {out.name} {kind}")
+    return files.select(*numbers, "content").mapInArrow(frugal(decode), f"part int, file int, nth long, doc_id long, start long, n_tokens long, {out.name} {kind}")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of words and their ids kept by one Python worker, in two halves: a full one is kept, the one before it dropped.
-CACHE_BYTES = 100_000_000
+CACHE_BYTES = 60_000_000
 #: Bytes of texts whose pieces are held at a time; a longer text is taken by itself.
 SLICE_BYTES = 3_000_000
 #: Characters that the library encodes at a time.

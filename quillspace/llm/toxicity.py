@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import frugal, table, text_or_empty
 from .words import Words, chunks, unique
 
 BITS = 20
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(got, pa.binary())], ["doc_id", "toxic", "features"])
 
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
-    found = texts.mapInArrow(extract, "doc_id long, toxic int, features binary").collect()
+    found = texts.mapInArrow(frugal(extract), "doc_id long, toxic int, features binary").collect()
     found = sorted((r["doc_id"], r["toxic"], bytes(r["features"])) for r in found)
     truth, rows = [r[1] for r in found], [r[2] for r in found]
     del found
@@ -195,7 +195,7 @@ def nontoxic(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(scores([x or "" for x in b.column(names.index("text")).to_pylist()]) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(frugal(keep), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     held_out = (F.coalesce(remainder(F.col("doc_id")), F.lit(0)) == 0).alias("held_out")
-    return rows.mapInArrow(score, "doc_id long, score double, predicted int").select("doc_id", held_out, "score", "predicted")
+    return rows.mapInArrow(frugal(score), "doc_id long, score double, predicted int").select("doc_id", held_out, "score", "predicted")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table, text_or_empty
+from .common import frugal, shared_path, table, text_or_empty
 
 #: Compressed bytes after which an archive is closed; bounds what a task holds.
 ARCHIVE_BYTES = 8_000_000
@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, path: str, at_least: int = 0) -> None:
         if archive:
             yield pa.record_batch([pa.array([b"".join(archive)], pa.binary())], ["payload"])
 
-    made = with_references(pages, at_least).mapInArrow(write, "payload binary")
+    made = with_references(pages, at_least).mapInArrow(frugal(write), "payload binary")
     made.select(F.col("payload").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
@@ -177,7 +177,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.record_batch([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return files.select("content").mapInArrow(frugal(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
