@@ -40,6 +40,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in fewer partitions, as small files do; for work that is heavy for its bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """df with its place, from 1, in a global order, without gathering all rows in one task.
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.shared import spread
 from .space import Binding
 
 #: Word vectors of so many bytes at most are broadcast to the counts of terms at a time.
@@ -216,7 +217,7 @@ def memory_sums(sentences: DataFrame, model: Model) -> DataFrame:
             add()
         yield flush()
 
-    found = sentences.where(F.size("words") >= 2).select("words").mapInArrow(scan, "token string, kind byte, vec array<double>")
+    found = spread(sentences.where(F.size("words") >= 2).select("words")).mapInArrow(scan, "token string, kind byte, vec array<double>")
     summed = found.withColumn("_v", array_to_vector("vec")).groupBy("token", "kind").agg(Summarizer.sum(F.col("_v")).alias("_v"))
     return summed.select("token", "kind", vector_to_array("_v").alias("vec"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import kept, numbered_within
+from ..functions.shared import kept, numbered_within, spread
 from . import evaluate as E
 from . import lexical as L
 from . import models as M
@@ -26,7 +26,7 @@ LEXICAL = ("wordmatch", "bm25", "hybrid")
 ASSOCIATES = ("nearest", "outside-document")
 #: Associates of a word that are looked at for one outside the document.
 CANDIDATES = 50
-#: Targets at most; their query vectors are broadcast.
+#: Targets at most, and queries that are scored together; their vectors are broadcast.
 MOST_TARGETS = 20_000
 
 
@@ -91,7 +91,8 @@ def vector_scores(space: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
             docs = b.column(0).to_numpy()
             step = max(1, 1_000_000 // len(names))
             for k in range(0, len(docs), step):
-                v = np.array(b.column(1).slice(k, step).to_pylist(), np.float64)
+                some = b.column(1).slice(k, step)
+                v = some.flatten().to_numpy().reshape(len(some), -1)
                 norms = np.linalg.norm(v, axis=1)
                 # rounded, as sums in another order may differ in their last bits and ties count
                 scores = np.round(q @ (v / np.where(norms > 0, norms, 1.0)[:, None]).T, 12)
@@ -116,7 +117,7 @@ def simulate(sentences: DataFrame, docs: DataFrame, plan: Plan | None = None, re
     """
     plan = plan or Plan()
     spark = sentences.sparkSession
-    sentences = kept(sentences.select("doc", "sent", "words"), "sentences")
+    sentences = kept(spread(sentences.select("doc", "sent", "words")), "sentences")
     tokens = sentences.select("doc", "sent", F.posexplode("words").alias("pos", "token"))
     counts = kept(L.term_counts(tokens, "doc"), "terms")
     sizes = counts.groupBy("doc").agg(F.sum("tf").alias("_n"))
@@ -139,21 +140,26 @@ def simulate(sentences: DataFrame, docs: DataFrame, plan: Plan | None = None, re
         spaces[name] = kept(M.composed(docs, counts, words[name], model, "doc").select("doc", "vec"), f"docs-{name}")
         made[name] = model
 
-    def score(queries: DataFrame, name: str) -> DataFrame:
-        """queries(target, token), repeats count for vectors alone -> target, doc, score of every document."""
-        asked = queries.select(F.col("target").alias("query_id"), "token")
-        if name in spaces:
-            counted = queries.groupBy("target", "token").agg(F.count(F.lit(1)).alias("tf"))
-            vectors = M.composed(queries.select("target").distinct(), counted, words[name], made[name], "target")
-            return vector_scores(spaces[name], vectors.select("target", "vec"), made[name].dim)
-        if name == "hybrid":
-            return fused_scores(kept(score(queries, plan.reference), "semantic"), kept(keywords(asked), "keywords"), plan.lexical_weight)
-        found = keywords(asked) if name == "bm25" else L.word_match(counts, asked, sorted(M.MODELS["beagle"].stop), "doc").select(F.col("query_id").alias("target"), "doc", F.col("score").cast("double").alias("score"))
-        every = docs.crossJoin(F.broadcast(targets.select(F.col("doc").alias("target"))))  # the stated queries against all documents
-        return every.join(found, ["target", "doc"], "left").select("target", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-    def keywords(asked: DataFrame) -> DataFrame:
-        return L.bm25(docs, counts, asked, "doc").select(F.col("query_id").alias("target"), "doc", F.round("score", 9).alias("score"))
+    def scores(queries: DataFrame, asked: DataFrame) -> DataFrame:
+        """queries(target, token), repeats count for vectors alone; asked(target): all of them -> target, doc, score, method."""
+        terms = queries.select(F.col("target").alias("query_id"), "token")
+        counted = queries.groupBy("target", "token").agg(F.count(F.lit(1)).alias("tf"))
+        every = docs.crossJoin(F.broadcast(asked.select("target")))  # the stated queries against all documents
+        parts: dict[str, DataFrame] = {}
+        for name in spaces:
+            if name in semantic or "hybrid" in plan.methods:
+                vectors = M.composed(asked.select("target"), counted, words[name], made[name], "target")
+                parts[name] = kept(vector_scores(spaces[name], vectors.select("target", "vec"), made[name].dim), f"scores-{name}")
+        if {"bm25", "hybrid"} & set(plan.methods):
+            found = L.bm25(docs, counts, terms, "doc").select(F.col("query_id").alias("target"), "doc", F.round("score", 9).alias("score"))
+            parts["bm25"] = kept(found, "scores-bm25")
+        if "hybrid" in plan.methods:
+            parts["hybrid"] = fused_scores(parts[plan.reference], parts["bm25"], plan.lexical_weight)
+        if "wordmatch" in plan.methods:
+            parts["wordmatch"] = L.word_match(counts, terms, sorted(M.MODELS["beagle"].stop), "doc").select(F.col("query_id").alias("target"), "doc", F.col("score").cast("double").alias("score"))
+        for name in {"bm25", "wordmatch"} & set(plan.methods):  # these score what matches
+            parts[name] = every.join(parts[name], ["target", "doc"], "left").select("target", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
+        return reduce(DataFrame.unionByName, [parts[m].select("target", "doc", "score", F.lit(m).alias("method")) for m in plan.methods])
 
     near = None
     if 2 in plan.simulations:
@@ -161,25 +167,30 @@ def simulate(sentences: DataFrame, docs: DataFrame, plan: Plan | None = None, re
         shown = words[plan.reference].select(F.col("token").alias("label"), "vec")
         asked_words = shown.where(F.exists("vec", lambda x: x != 0)).join(own.select(F.col("token").alias("label")).distinct(), "label")
         near = kept(nearest(shown.where(~F.col("label").isin(stop)) if stop else shown, asked_words, 1 if plan.associates == "nearest" else CANDIDATES), "associates")
-    ranks, agreement = [], []
+    cases: list[tuple[int, int, DataFrame]] = []
     for percent in plan.percents:
         sample = kept(E.sampled_tokens(own, percent, plan.seed, "doc").select("doc", "sent", "pos", "token"), f"queries-{percent}")
-        asked = {1: sample}
+        if {1, 3} & set(plan.simulations):
+            cases.append((1, percent, sample))
         if near is not None:
-            asked[2] = kept(E.associates(sample, near, own.select("doc", "token").distinct() if plan.associates != "nearest" else None, "doc"), f"associates-{percent}")
-        for simulation, rows in asked.items():
-            queries = rows.select(F.col("doc").alias("target"), "token")
-            if simulation == 1 and not {1, 3} & set(plan.simulations):
-                continue
-            all_scores = reduce(DataFrame.unionByName, [score(queries, m).withColumn("method", F.lit(m)) for m in plan.methods])
-            all_scores = kept(all_scores, f"scores-{simulation}-{percent}")
-            if simulation in plan.simulations:
-                wanted = targets.select(F.col("doc").alias("target"), "doc").crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in plan.methods], "method string")))
-                found = E.target_ranks(all_scores, wanted, ["target", "method"], "doc")
-                ranks.append(found.select(F.lit(simulation).alias("simulation"), F.lit(percent).alias("percent"), "target", "method", "rank"))
-            if simulation == 1 and 3 in plan.simulations and len(plan.methods) > 1:
-                rho = E.spearman(all_scores, ["target"], "doc")
-                agreement.append(rho.select(F.lit(percent).alias("percent"), "target", "method_a", "method_b", "rho"))
+            cases.append((2, percent, kept(E.associates(sample, near, own.select("doc", "token").distinct() if plan.associates != "nearest" else None, "doc"), f"associates-{percent}")))
+    names = [r[0] for r in targets.orderBy("doc").collect()]  # bounded by MOST_TARGETS
+    methods = spark.createDataFrame([(m,) for m in plan.methods], "method string")
+    ranks, agreement = [], []
+    step = max(1, MOST_TARGETS // n_targets)  # cases whose queries are scored together
+    for first in range(0, len(cases), step):
+        some = cases[first : first + step]
+        rows = [(i * n_targets + k, doc, simulation, percent) for i, (simulation, percent, _) in enumerate(some) for k, doc in enumerate(names)]
+        asked = kept(spark.createDataFrame(rows, "target long, doc long, simulation int, percent int"), "asked")
+        queries = [found.join(F.broadcast(asked.where((F.col("simulation") == simulation) & (F.col("percent") == percent))), "doc").select("target", "token") for simulation, percent, found in some]
+        all_scores = kept(scores(kept(reduce(DataFrame.unionByName, queries), "asked-words"), asked), "scores")
+        wanted = asked.where(F.col("simulation").isin(list(plan.simulations)))
+        found = E.target_ranks(all_scores, wanted.select("target", "doc").crossJoin(F.broadcast(methods)), ["target", "method"], "doc")
+        ranks.append(found.join(F.broadcast(wanted), "target").select("simulation", "percent", F.col("doc").alias("target"), "method", "rank"))
+        alike = asked.where("simulation = 1")
+        if 3 in plan.simulations and len(plan.methods) > 1 and any(c[0] == 1 for c in some):
+            rho = E.spearman(all_scores.join(F.broadcast(alike.select("target")), "target", "left_semi"), ["target"], "doc")
+            agreement.append(rho.join(F.broadcast(alike), "target").select("percent", F.col("doc").alias("target"), "method_a", "method_b", "rho"))
     none = spark.createDataFrame([], "simulation int, percent int, target long, method string, rank double")
     nothing = spark.createDataFrame([], "percent int, target long, method_a string, method_b string, rho double")
     return Results(kept(reduce(DataFrame.unionByName, ranks, none), "ranks"), kept(reduce(DataFrame.unionByName, agreement, nothing), "agreement"), docs.count(), n_targets)

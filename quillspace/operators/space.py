@@ -74,7 +74,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, label: str = "label"
             for b in batches:
                 if not b.num_rows:
                     continue
-                rows = np.array(b.column(1).to_pylist(), np.float64)
+                rows = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
                 size = np.linalg.norm(rows, axis=1)
                 scores = np.round(matrix @ (rows / np.where(size > 0, size, 1.0)[:, None]).T, 9)
                 labels = np.array(b.column(0).to_pylist(), object)
