@@ -23,7 +23,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of words and their ids kept by one Python worker, in two halves: a full one is kept, the one before it dropped.
 CACHE_BYTES = 60_000_000
 #: Bytes of texts whose pieces are held at a time; a longer text is taken by itself.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 6_000_000
 #: Characters that the library encodes at a time.
 WHOLE_CHARS = 100_000
 _SPACE = np.isin(np.arange(256), [10, 32])
@@ -65,7 +65,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
+        self.tokenize = self.whole.model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
         self.space = chr(self.letters[32])
@@ -80,13 +80,13 @@ class Encoder:
     def _model(self, word: str) -> bytes:
         plain = word.isascii() and word.isprintable()
         name = word.replace(" ", self.space) if plain else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(name)]).tobytes()
 
     def piece(self, text: str) -> bytes:
         got = self.older.get(text)
         if got is None:
-            words = [text] if text.isalpha() or text[1:].isalpha() and text[0] == " " else self.split(text)
-            got = b"".join([self._model(w) for w in words])
+            whole = text.isalpha() or text[1:].isalpha() and text[0] == " "
+            got = self._model(text) if whole else b"".join([self._model(w) for w in self.split(text)])
         self.kept[text] = got
         self.held += 200 + len(text) + len(got)
         if 2 * self.held > CACHE_BYTES:
@@ -108,11 +108,12 @@ class Encoder:
             got = self.kept.get(x)
             known.append(self.piece(x) if got is None else got)
         table = np.frombuffer(b"".join(known), "<u4")
-        sizes = np.array([len(x) // 4 for x in known], np.int64)
+        sizes = np.array([len(x) // 4 for x in known], np.int32)  # as all positions here, a text having under 2^31 bytes
         index = pieces.indices.to_numpy()
         counts = sizes[index]
         after = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
-        places = np.repeat((np.cumsum(sizes) - sizes)[index] - after[:-1], counts) + np.arange(after[-1])
+        places = np.repeat(((np.cumsum(sizes) - sizes)[index] - after[:-1]).astype(np.int32), counts)
+        places += np.arange(after[-1], dtype=np.int32)
         of = np.searchsorted(starts, np.concatenate([np.zeros(1, np.int64), ends]))
         return table[places], np.diff(after[of])
 
