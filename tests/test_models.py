@@ -131,3 +131,35 @@ def test_models_by_name():
     for name, params in [("nothing", {}), ("beagle", {"odd": 1}), ("beagle", {"max_ngram": 1}), ("beagle-rp", {"nonzeros": 3}), ("beagle", {"context": False, "order": False}), ("beagle-legacy", {"order": True})]:
         with pytest.raises(ValueError):
             M.make(name, **params)
+
+
+def test_composition_of_many_words_moves_each_vector_once_to_a_group(spark, corpus, monkeypatch):
+    """Above the broadcast limit, and of environments alone; both against plain sums, on any batches."""
+    rng = np.random.default_rng(0)
+    rows = [(d, f"w{w}", int(t)) for d in range(300) for w, t in zip(rng.choice(900, 7, replace=False), rng.integers(1, 9, 7), strict=True)]
+    counts = spark.createDataFrame(rows, "doc long, token string, tf long").repartition(5)
+    docs = spark.createDataFrame([(d,) for d in range(302)], "doc long")
+    model = M.make("random", dim=16, environment="ternary", nonzeros=4)
+    known = spark.createDataFrame([(f"w{w}",) for w in range(0, 900, 2)], "token string")
+    monkeypatch.setattr(M, "GROUP", 16 * 13)
+    monkeypatch.setattr(M, "SUMMED", 16 * 40)
+
+    def sums(words):
+        return {r["doc"]: np.array(r["vec"]) for r in M.composed(docs, counts, words, model, "doc").collect()}
+
+    every, some = sums(None), {}
+    for limit in (0, M.BROADCAST_BYTES):
+        monkeypatch.setattr(M, "BROADCAST_BYTES", limit)
+        some[limit] = sums(M.environments(known, model))
+    for d in range(302):
+        want = lambda step: sum((t * M.environment(w, model) for e, w, t in rows if e == d and int(w[1:]) % step == 0), np.zeros(16))
+        np.testing.assert_array_equal(every[d], want(1))
+        for got in some.values():
+            np.testing.assert_allclose(got[d], want(2), atol=1e-9)
+    plans = []
+    for limit in (0, 16 * 8 * 30):  # the plan does not grow with the words
+        monkeypatch.setattr(M, "BROADCAST_BYTES", limit)
+        plans.append(M.composed(docs, counts, M.environments(known, model), model, "doc")._jdf.queryExecution().analyzed().toString())
+    assert plans[0].count("MapInArrow") == plans[1].count("MapInArrow") < 5
+    with pytest.raises(ValueError):
+        M.composed(docs, counts, None, M.make("beagle", dim=16), "doc")
