@@ -163,3 +163,50 @@ def test_composition_of_many_words_moves_each_vector_once_to_a_group(spark, corp
     assert plans[0].count("MapInArrow") == plans[1].count("MapInArrow") < 5
     with pytest.raises(ValueError):
         M.composed(docs, counts, None, M.make("beagle", dim=16), "doc")
+
+
+def test_nearest_in_small_pieces_against_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-2, 3, (120, 4)).astype(float)  # many ties
+    space = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rows)], "label long, vec array<double>").repartition(3)
+    monkeypatch.setattr(X, "SCORES", 50)
+    monkeypatch.setattr(X, "QUERIES", 4 * 17)
+    asked = space.where("label % 3 = 0 or label > 110")
+    got = {(r["query"], r["rank"]): (r["label"], r["score"]) for r in X.nearest(space, asked, 4).collect()}
+    unit_rows = np.array([unit(r) for r in rows])
+    scores = np.round(unit_rows @ unit_rows.T, 9)
+    for q in range(120):
+        if q % 3 and q <= 110:
+            continue
+        best = sorted((-scores[q, j], j) for j in range(120) if j != q)[:4]
+        assert [got[q, n + 1] for n in range(4)] == [(j, pytest.approx(-s)) for s, j in best]
+
+
+def test_partial_sums_hold_little(spark, corpus, monkeypatch):
+    """A task gives its sums away when they are many, and they are added up again."""
+    model = M.make("beagle-rp", dim=48, nonzeros=6)
+    whole = learned(corpus, model)
+    monkeypatch.setattr(M, "HELD", 500)
+    monkeypatch.setattr(M, "GROUP", 300)
+    parts = M._partial_sums(corpus[0].coalesce(1), model)
+    assert parts.count() > M.memory_sums(corpus[0], model).count()
+    for w, v in learned(corpus, model).items():
+        np.testing.assert_allclose(whole[w], v, atol=1e-6)
+
+
+def test_order_of_blocks_is_that_of_sentences(monkeypatch):
+    binding, rng = X.Binding(16, 0), np.random.default_rng(1)
+    for sizes in ([3, 2, 9, 2, 2, 5, 4], [30, 2], [2] * 20, [11]):
+        x = rng.standard_normal((sum(sizes), 16))
+        ends = np.cumsum(sizes)
+        want = np.concatenate([binding.order(x[b - n : b], 4) for n, b in zip(sizes, ends, strict=True)])
+        for rows in (1, 5, 8):
+            monkeypatch.setattr(X, "ROWS", rows)
+            np.testing.assert_allclose(binding.order(x, 4, np.array(sizes)), want, atol=1e-12)
+
+
+def test_environments_made_together_are_those_made_alone():
+    for model in (M.make("random", dim=24, environment="ternary", nonzeros=4), M.make("beagle", dim=8)):
+        words = [f"w{k}" for k in range(50)]
+        np.testing.assert_array_equal(M.environment_rows(words, model), np.stack([M.environment(w, model) for w in words]))
+        np.testing.assert_array_equal(M.Environment(model).rows(words), M.environment_rows(words, model))
