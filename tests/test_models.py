@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspace.functions import vector as V
 from quillspace.operators import models as M
 from quillspace.operators import space as X
 
@@ -210,3 +211,57 @@ def test_environments_made_together_are_those_made_alone():
         words = [f"w{k}" for k in range(50)]
         np.testing.assert_array_equal(M.environment_rows(words, model), np.stack([M.environment(w, model) for w in words]))
         np.testing.assert_array_equal(M.Environment(model).rows(words), M.environment_rows(words, model))
+
+
+def test_rows_of_terms_compose_as_counts_do_and_are_not_moved(spark, monkeypatch):
+    monkeypatch.setattr(M, "GROUP", 16 * 3)
+    rows = [(1, ["the", "dog"], [3, 2]), (2, ["the", "a"], [1, 4]), (3, [], []), (None, ["x"], [1]), (5, [f"w{k % 9}" for k in range(9)], list(range(1, 10)))]
+    docs = spark.createDataFrame([(k,) for k in range(1, 6)], "doc long")
+    terms = spark.createDataFrame(rows, "doc long, tokens array<string>, tfs array<bigint>").coalesce(1)
+    counts = terms.select("doc", F.posexplode(F.arrays_zip("tokens", "tfs")).alias("_p", "_t")).select("doc", F.col("_t.tokens").alias("token"), F.col("_t.tfs").alias("tf"))
+    for model in (M.make("random", dim=16, stopwords=("the", "a")), M.make("random", dim=16, environment="ternary", nonzeros=4, compose_without_stopwords=False)):
+        want = {r["doc"]: np.array(r["vec"]) for r in M.composed(docs, counts, None, model, "doc").collect()}
+        got = {r["doc"]: np.array(r["vec"]) for r in M.composed_of_rows(docs, terms, model, "doc").collect()}
+        assert set(got) == set(want) == {1, 2, 3, 4, 5}
+        for d in got:
+            np.testing.assert_allclose(got[d], want[d], atol=1e-6)
+        assert got[2].any()
+    with pytest.raises(ValueError):
+        M.composed_of_rows(docs, terms, M.make("beagle", dim=16), "doc")
+
+
+def test_environments_are_kept_in_few_rows(monkeypatch):
+    """Emptied when they are many; the columns that come with words stay."""
+    model = M.make("random", dim=24, environment="ternary", nonzeros=4)
+    monkeypatch.setattr(M, "HELD", (24 + M.OVERHEAD) * 10)
+    env, rng = M.Environment(model), np.random.default_rng(0)
+    for _ in range(40):
+        words = [f"w{k}" for k in rng.integers(0, 30, 7)]
+        np.testing.assert_array_equal(env.rows(words), np.stack([M.environment(w, model) for w in words]))
+        assert len(env._places) <= 10
+    assert env.rows([]).shape == (0, 24)
+
+
+def test_environments_keep_other_columns(spark):
+    model = M.make("random", dim=24, environment="ternary", nonzeros=4)
+    words = spark.createDataFrame([(7, "dog"), (8, "cat")], "row long, token string")
+    for r in M.environments(words, model).collect():
+        assert r["row"] == {"dog": 7, "cat": 8}[r["token"]]
+        np.testing.assert_array_equal(r["vec"], M.environment(r["token"], model))
+
+
+def test_what_an_element_is_divided_by_is_made_once():
+    """Within a function over elements it would be made for each of them: quadratic in the dimensions."""
+    for made, inner, outer in ((V.quantize(F.col("v")), "rint", "array_max"), (V.unit(F.col("v")), "/", "aggregate")):
+        shown = str(made).replace("`", "").lower()
+        assert outer in shown
+        assert outer not in shown.split(inner, 1)[1].split("127" if inner == "rint" else ")", 1)[0]
+
+
+def test_quantizing_keeps_its_values(spark):
+    rows = [[0.0, 0.0], [1.5, -3.0], [], [0.5, 127.0, -0.5, 1.5], None]
+    got = spark.createDataFrame(list(enumerate(rows)), "k int, v array<float>").select("k", V.quantize(F.col("v")).alias("z"), V.unit(F.col("v")).alias("u")).orderBy("k").collect()
+    assert [r["z"]["q"] for r in got] == [[0, 0], [64, -127], [], [0, 127, 0, 2], None]
+    assert [r["z"]["scale"] for r in got] == pytest.approx([1 / 127, 3 / 127, 1 / 127, 1.0, 1 / 127])
+    assert got[0]["u"] == [0.0, 0.0]
+    np.testing.assert_allclose(got[1]["u"], unit(np.array([1.5, -3.0])))
