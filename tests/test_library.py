@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspace.__main__ import main
 from quillspace.library import Library
+from quillspace.operators import models as M
 from quillspace.operators import simulate as E
 from quillspace.sources import mapping as D
 from quillspace.sources import readers as R
@@ -259,3 +260,24 @@ def test_a_watched_folder(spark, tmp_path):
     assert {r["token"]: r["n"] for r in spark.table("seen_terms").collect()} == {"dog": 2, "number1": 1, "number2": 1}
     timed = spark.readStream.schema("ts timestamp, text string").json(str(tmp_path / "in"))
     assert ingest.windowed_term_counts(timed, "ts").isStreaming
+
+
+def test_a_control_is_built_without_sentences(spark, tmp_path):
+    """Its spaces are sums of environments, and its tables those of the sentences' tokens."""
+    made = Library.create(spark, str(tmp_path / "control"), embedder="random", embedder_params={"dim": 16, "environment": "ternary", "nonzeros": 4})
+    made.add_records(records(spark), source="table")
+    blocks = spark.createDataFrame([("paper", p, 0, " ".join(["market" if p == 2 else "dog", "words"] * 30) + f" end{p}.", 0.2, 0.5) for p in (1, 2)], "doc_id string, page int, block int, text string, top double, bottom double")
+    made.add_documents(R.read_blocks(blocks, 40), "paper.blocks", "blocks")
+    info = made.build()
+    assert "sentences" not in made.folder.names(info["path"])
+    tokens = made.sentences().select("doc", "unit", "sent", F.posexplode("words").alias("pos", "token"))
+    order = [r["token"] for r in tokens.orderBy("doc", "unit", "sent", "pos").collect()]
+    vocab = {r["token"]: (r["row"], r["n"]) for r in made._table("vocab").collect()}
+    assert vocab == {t: (k + 1, order.count(t)) for k, t in enumerate(dict.fromkeys(order))}
+    want = {(r["doc"], r["token"]): r["n"] for r in tokens.groupBy("doc", "token").agg(F.count("*").alias("n")).collect()}
+    assert {(r["doc"], r["token"]): r["tf"] for r in made._table("terms").collect()} == want
+    assert {r["doc"]: r["len"] for r in made._table("lengths").collect()} == {d: sum(n for (e, _), n in want.items() if e == d) for d in range(1, 8)}
+    words, docs, chunks = vectors(made, "word"), vectors(made, "document"), vectors(made, "chunk")
+    assert np.array_equal(words["dog"], M.environment("dog", made.model))
+    np.testing.assert_array_equal(sum(chunks.values()), docs["paper"])
+    assert docs["e"].any() and not docs["f"].any()
