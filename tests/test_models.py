@@ -265,3 +265,11 @@ def test_quantizing_keeps_its_values(spark):
     assert [r["z"]["scale"] for r in got] == pytest.approx([1 / 127, 3 / 127, 1 / 127, 1.0, 1 / 127])
     assert got[0]["u"] == [0.0, 0.0]
     np.testing.assert_allclose(got[1]["u"], unit(np.array([1.5, -3.0])))
+
+
+def test_partial_sums_are_sent_in_numbers_that_hold_them():
+    rows = np.array([[0, -127, 3], [128, 0, 0], [-32768, 1, 2], [2.0**31 - 1, 0, 0], [2.0**31, 0, 0], [0.5, 1, -1e-9]])
+    sent = M._packed(rows)
+    assert [len(x) for x in sent.to_pylist()] == [3, 6, 12, 12, 24, 24]
+    np.testing.assert_array_equal(M._unpacked(sent, 3), rows)
+    np.testing.assert_array_equal(M._unpacked(sent.slice(2, 2), 3), rows[2:4])
