@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from quillspace.functions import text as T
 from quillspace.library import Library
 from quillspace.operators import models as M
+from quillspace.plans import library_queries as Q
 from quillspace.sources import mapping as D
+from quillspace.sources.store import LibraryError
 
 TEXTS = [["The dog's café. It ran! " * 9, "ÉCOLE the. " * 5], [], None, ["", None, "one 22"], ["a. b. c. a the"], ["the the"]]
 
@@ -71,3 +73,56 @@ def test_a_build_reads_its_counts_once(spark, tmp_path, monkeypatch):
     got = {r["label"]: np.array(r["vec"]) for r in lib.space("document").collect()}
     np.testing.assert_allclose(got["a"], 2 * M.environment("dog", lib.model) + M.environment("cat", lib.model), atol=1e-6)
     assert not got["c"].any()
+
+
+def test_texts_are_cut_as_their_tokens_are(monkeypatch):
+    odd = ["", " ", "a", "it's 'quoted' a''b x_'y o’c'd '", "1 22 x2 ²", "É’e ﬁ ½ ß\u200bz 日本 Ⅷ", "a\tb\x1cc", "'", "9"]
+    for mode in T.MODES:
+        row, words = T.cut([T.spaced(x, mode) for x in odd])
+        got = [[w for r, w in zip(row.tolist(), words.to_pylist(), strict=True) if r == k and not (mode == "unicode" and w.isdecimal())] for k in range(len(odd))]
+        assert got == [T.tokens_of(x, mode) for x in odd]
+        assert [list(T.terms_of(x, mode)) for x in odd] == [list(dict.fromkeys(x)) for x in got]
+    assert T.fold("it's 'q' a''b x_'y o’c'd") == "its 'q' a''b x_y ocd"
+
+
+def test_a_word_is_gathered_once_for_many_documents(spark):
+    """Posted lists are of millions of bytes of text, so their number grows little with the documents."""
+    docs = spark.createDataFrame([(k, str(k), [" ".join(f"w{j}" for j in range(500))], False) for k in range(2000)], "doc long, id string, units array<string>, parted boolean").coalesce(1)
+    made = M.indexed(docs, "doc", F.col("units"), F.col("parted"), M.make("random", dim=8, environment="ternary", nonzeros=2))
+    lists = made.where("token is not null").select("token", F.size("docs").alias("n"), "first").collect()
+    assert len(lists) == 500 and all((r["n"], r["first"]) == (2000, 0) for r in lists)
+
+
+def test_a_build_of_parts_makes_no_more_and_keeps_what_there_is(spark, tmp_path):
+    lib = Library.create(spark, str(tmp_path / "parts"), embedder="random", embedder_params={"dim": 16})
+    rows = spark.createDataFrame([("a", "dog cat dog", "x"), ("b", "cat", "y"), ("c", None, "x")], "id string, text string, terms string")
+    lib.add_records(rows, D.FieldMapping.from_options(["text"], ["terms"], "id"))
+    first = lib.build(parts=["vocab"])
+    assert set(lib.folder.names(first["path"])) == {"lengths", "vocab"} and not first["spaces"]
+    second = lib.build(parts=["document", "vocab"])
+    assert set(lib.folder.names(second["path"])) == {"space=document"}
+    assert lib._table("vocab").count() == 2 and lib.space("document").count() == 3
+    assert second["mean_length"] == first["mean_length"] == 4 / 3
+    third = lib.build(parts=["terms"])  # a table and a factor of one name
+    assert set(lib.folder.names(third["path"])) == {"terms", "space=terms"}
+    assert {r["label"] for r in lib.space("terms").collect()} == {"x", "y"} and lib._table("terms").count() == 3
+    try:
+        lib.build(parts=["nothing"])
+        raise AssertionError
+    except LibraryError as e:
+        assert "nothing" in str(e)
+    lib.add_records(spark.createDataFrame([("d", "cow", "z")], "id string, text string, terms string"), D.FieldMapping.from_options(["text"], ["terms"], "id"), "more")
+    assert set(lib.folder.names(lib.build(parts=["vocab"])["path"])) == {"lengths", "vocab"} and lib._table("vocab").count() == 3
+    whole = lib.build()
+    assert set(whole["spaces"]) == {"document", "word", "terms"} and {"terms", "vocab", "lengths", "space=word"} <= set(lib.folder.names(whole["path"]))
+
+
+def test_ids_reach_terms_without_moving_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"d{k}") for k in (1, 2, 99, 100, 101, 250, 1000)], "row long, id string")
+    rows = spark.createDataFrame([(k, w) for k in (1, 99, 100, 101, 1000, 5) for w in "ab"], "doc long, token string")
+    want = {(k, w, f"d{k}") for k in (1, 99, 100, 101, 1000) for w in "ab"}
+    made = Q._with_ids(rows, docs)
+    assert {(r["doc"], r["token"], r["id"]) for r in made.collect()} == want and made.count() == 10
+    assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Q, "ID_BYTES", 10)
+    assert {(r["doc"], r["token"], r["id"]) for r in Q._with_ids(rows, docs).collect()} == want
