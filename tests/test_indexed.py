@@ -126,3 +126,10 @@ def test_ids_reach_terms_without_moving_them(spark, monkeypatch):
     assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(Q, "ID_BYTES", 10)
     assert {(r["doc"], r["token"], r["id"]) for r in Q._with_ids(rows, docs).collect()} == want
+
+
+def test_the_query_of_a_factor_space_builds_what_it_reads(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(Q, "_BUILT", {})
+    assert Q.library_factor_space(spark, sf_dir).count()
+    (lib,) = Q._BUILT.values()
+    assert set(lib.info["tables"]) == {"lengths", "space=document", "space=lang"}
